@@ -1,8 +1,8 @@
-"""Spanish word stems (the published Snowball rules) as column expressions.
+"""Spanish word stems (the published Snowball rules) as a column expression.
 
-Each step is an anchored regular expression, so stemming runs inside the JVM next to the
-filter that uses it.  Regions follow the published definition: RV, R1 and R2 are computed
-as start positions, and a suffix is only removed where it lies inside its region.
+Each step is an anchored regular expression on a column of words, so stemming runs inside
+the JVM.  RV, R1 and R2 are start positions; a suffix is only removed where it lies inside
+its region.  Stem a vocabulary of distinct words and join it back, not every occurrence.
 """
 
 from __future__ import annotations
@@ -40,72 +40,90 @@ VERBS = (
 )
 
 
-def _region_starts(w: Column) -> tuple[Column, Column, Column]:
-    """One-based start positions of RV, R1 and R2 (past the end when a region is empty)."""
-    end = F.length(w) + 1
-    first = rf"^(.*?{VOWEL}{CONSONANT})"
-    head1 = F.regexp_extract(w, first, 1)
-    r1 = F.when(head1 != "", F.length(head1) + 1).otherwise(end)
-    head2 = F.regexp_extract(F.substring(w, r1, F.length(w)), first, 1)
-    r2 = F.when(head2 != "", r1 + F.length(head2)).otherwise(end)
-    rv_head = F.regexp_extract(
-        w, rf"^(.{CONSONANT}.*?{VOWEL}|{VOWEL}{VOWEL}.*?{CONSONANT}|{CONSONANT}{VOWEL}.)", 1
-    )
-    rv = F.when(rv_head != "", F.length(rv_head) + 1).otherwise(end)
-    return rv, r1, r2
+def _let(value: Column, body) -> Column:
+    """Bind ``value`` once, so that the steps below do not multiply the expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _region(head: Column, word: Column, before=0) -> Column:
+    """Start of the region after ``head`` (past the end of the word without one)."""
+    return F.when(head > 0, before + head + 1).otherwise(F.length(word) + 1)
+
 
+def _after_first(word: Column) -> Column:
+    """Length of the head that ends after the first vowel-consonant pair."""
+    return F.length(F.regexp_extract(word, rf"^.*?{VOWEL}{CONSONANT}", 0))
 
-def _strip(w: Column, start: Column, suffixes: str, replacement: str = "") -> Column:
-    """Replace the longest listed suffix when it begins at or after ``start``."""
-    suffix = F.regexp_extract(w, f"(?:{suffixes})$", 0)
-    inside = (suffix != "") & (F.length(w) - F.length(suffix) + 1 >= start)
-    kept = F.substring(w, F.lit(1), F.length(w) - F.length(suffix))
-    return F.when(inside, F.concat(kept, F.lit(replacement))).otherwise(w)
 
+def _strip(word: Column, start: Column, suffixes: str, replacement: str = "") -> Column:
+    """The word without its longest listed suffix in the region, else null."""
 
-def _unaccent(w: Column) -> Column:
-    return F.translate(w, "áéíóú", "aeiou")
+    def body(suffix: Column) -> Column:
+        inside = (suffix > 0) & (F.length(word) - suffix + 1 >= start)
+        kept = F.substring(word, F.lit(1), F.length(word) - suffix)
+        return F.when(inside, F.concat(kept, F.lit(replacement)))
+
+    return _let(F.length(F.regexp_extract(word, f"(?:{suffixes})$", 0)), body)
 
 
 def stem(word: Column) -> Column:
     """Stem of one lower-case word."""
-    rv, r1, r2 = _region_starts(word)
-    regions = {"r1": r1, "r2": r2}
-
-    # Step 0: attached pronouns after a gerund, infinitive or affirmative form in RV.
-    bare = F.regexp_extract(
-        word, rf"^(.*(?:iéndo|ándo|ár|ér|ír|ando|iendo|ar|er|ir|uyendo))(?:{PRONOUNS})$", 1
+    rv_pattern = rf"^(?:.{CONSONANT}.*?{VOWEL}|{VOWEL}{VOWEL}.*?{CONSONANT}|{CONSONANT}{VOWEL}.)"
+
+    def with_word(w: Column) -> Column:
+        return _let(_after_first(w), lambda h1: with_head(w, h1))
+
+    def with_head(w: Column, h1: Column) -> Column:
+        h2 = _after_first(F.substring(w, h1 + 1, F.length(w)))
+        regions = F.struct(
+            _region(F.length(F.regexp_extract(w, rv_pattern, 0)), w).alias("rv"),
+            _region(h1, w).alias("r1"),
+            _let(h2, lambda h: F.when(h1 > 0, _region(h, w, h1)).otherwise(F.length(w) + 1)).alias("r2"),
+        )
+        return _let(regions, lambda at: with_regions(w, at))
+
+    def with_regions(w: Column, at: Column) -> Column:
+        return _let(_without_pronoun(w, at["rv"]), lambda s0: with_base(s0, at))
+
+    def with_base(s0: Column, at: Column) -> Column:
+        # Step 1: the first standard suffix that applies; step 2: verbs, if none did.
+        shorter = F.coalesce(
+            *[_strip(s0, at[region], suffixes, to) for region, suffixes, to in STANDARD],
+            _strip(s0, at["rv"], rf"(?<=u)(?:{Y_VERBS})"),
+            _strip(s0, at["rv"], VERBS),
+            F.regexp_replace(_strip(s0, at["rv"], VERBS_E), "gu$", "g"),
+            s0,
+        )
+        return _let(shorter, lambda s2: residual(s2, at))
+
+    def residual(s2: Column, at: Column) -> Column:
+        # Step 3: residual vowels, then accents.
+        left = F.coalesce(
+            _strip(s2, at["rv"], "os|a|o|á|í|ó"),
+            F.regexp_replace(_strip(s2, at["rv"], "e|é"), "gu$", "g"),
+            s2,
+        )
+        return F.translate(left, "áéíóú", "aeiou")
+
+    return _let(word, with_word)
+
+
+def _without_pronoun(w: Column, rv: Column) -> Column:
+    """Step 0: drop a pronoun attached to a gerund or infinitive in RV."""
+    forms = "iéndo|ándo|ár|ér|ír|ando|iendo|ar|er|ir"
+
+    def with_form(bare: Column, form: Column) -> Column:
+        cut_at = F.length(bare) - F.length(form)
+        plain = F.concat(F.substring(bare, F.lit(1), cut_at), F.translate(form, "áéíóú", "aeiou"))
+        return F.when((bare != "") & (cut_at + 1 >= rv), plain).otherwise(w)
+
+    bare = F.regexp_extract(w, rf"^(.*(?:{forms}|uyendo))(?:{PRONOUNS})$", 1)
+    return _let(
+        bare,
+        lambda b: _let(F.regexp_extract(b, f"(?:{forms}|yendo)$", 0), lambda f: with_form(b, f)),
     )
-    ending = F.regexp_extract(bare, "(?:iéndo|ándo|ár|ér|ír|ando|iendo|ar|er|ir|yendo)$", 0)
-    usable = (bare != "") & (F.length(bare) - F.length(ending) + 1 >= rv)
-    s0 = F.when(
-        usable,
-        F.when(ending.rlike("[áéí]"), F.concat(F.substring(bare, F.lit(1), F.length(bare) - F.length(ending)), _unaccent(ending))).otherwise(bare),
-    ).otherwise(word)
-
-    # Step 1: the first standard suffix that applies.
-    s1 = F.lit(None).cast("string")
-    for region, suffixes, replacement in reversed(STANDARD):
-        done = _strip(s0, regions[region], suffixes, replacement)
-        s1 = F.when(done != s0, done).otherwise(s1)
-
-    # Step 2: verb suffixes, only when step 1 removed nothing.
-    y = _strip(s0, rv, rf"(?<=u)(?:{Y_VERBS})")
-    e = _strip(s0, rv, VERBS_E)
-    e = F.when((e != s0) & e.rlike("gu$"), F.regexp_replace(e, "u$", "")).otherwise(e)
-    v = _strip(s0, rv, VERBS)
-    s2 = F.coalesce(
-        s1, F.when(y != s0, y).when(v != s0, v).when(e != s0, e).otherwise(s0)
-    )
-
-    # Step 3: residual vowels, then accents.
-    s3 = _strip(s2, rv, "os|a|o|á|í|ó")
-    s3 = F.when(s3 == s2, _strip(s2, rv, "e|é")).otherwise(s3)
-    s3 = F.when((s3 != s2) & s2.rlike("[eé]$") & s3.rlike("gu$"), F.regexp_replace(s3, "u$", "")).otherwise(s3)
-    return _unaccent(s3)
 
 
-def stems(text) -> Column:
-    """Stems of the words of a text, in order."""
-    words = F.regexp_extract_all(F.lower(_col(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    return F.transform(words, stem)
+def words_of(text) -> Column:
+    """Lower-case words of a text, in order."""
+    return F.regexp_extract_all(F.lower(_col(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))

@@ -9,7 +9,7 @@ from ..functions import spectrum as S
 from ..plans.joins import lookup_join
 
 
-def outlet_counts(articles: DataFrame) -> DataFrame:
+def outlet_counts(articles: DataFrame, extra: dict[str, tuple] = {}) -> DataFrame:
     """Articles per (story, outlet) with first and last date.
 
     This is the only pass over the articles in the coverage operators.  It combines on the
@@ -22,18 +22,21 @@ def outlet_counts(articles: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("n"),
             F.min("fecha_pub").alias("first_pub"),
             F.max("fecha_pub").alias("last_pub"),
+            *[combine(column).alias(name) for name, (combine, column) in extra.items()],
         )
     )
 
 
-def story_coverage(articles: DataFrame, outlets: DataFrame) -> DataFrame:
+def story_coverage(articles: DataFrame, outlets: DataFrame, extra: dict[str, tuple] = {}) -> DataFrame:
     """One row per story: counts, dates, sides, importance and coverage shares.
 
     An outlet counts once per story.  Outlets without a lean take part in the outlet count
     but not in the shares.  No distinct aggregate is needed: outlets are already unique.
+    ``extra`` adds aggregates that combine with themselves (``{"name": (F.min, "column")}``)
+    to the same pass.
     """
     leans = outlets.select("outlet_id", S.side("sesgo").alias("side"), (F.col("sesgo") != "").alias("has_lean"))
-    per_outlet = lookup_join(outlet_counts(articles), leans, "outlet_id", "left")
+    per_outlet = lookup_join(outlet_counts(articles, extra), leans, "outlet_id", "left")
     in_mix = F.col("outlet_id").isNotNull() & F.col("has_lean")
 
     def outlets_on(name: str):
@@ -51,6 +54,7 @@ def story_coverage(articles: DataFrame, outlets: DataFrame) -> DataFrame:
         outlets_on("left").alias("izq"),
         outlets_on("center").alias("centro"),
         outlets_on("right").alias("der"),
+        *[combine(name).alias(name) for name, (combine, _) in extra.items()],
     )
     covered = F.col("izq") + F.col("centro") + F.col("der") > 0
     shares = S.largest_remainder(F.col("izq"), F.col("centro"), F.col("der"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions import spectrum as S
 from ..functions.dates import epoch_micros, as_column, hours_between, window_since
-from ..functions.stems import stems
+from ..functions.stems import stem, words_of
 
 
 def story_window(stories: DataFrame, window: str, as_of) -> DataFrame:
@@ -37,31 +37,47 @@ def search_fulltext(
     all_of: list[str] = (),
     any_of: list[str] = (),
     none_of: list[str] = (),
-    phrases: list[str] = (),
 ) -> DataFrame:
     """Match on word stems of title and summary.
 
-    Every ``all_of`` word, at least one ``any_of`` word and every phrase must occur, no
-    ``none_of`` word may.  Stems are computed per row, so this is one narrow filter.
+    Every ``all_of`` term, at least one ``any_of`` term and no ``none_of`` term must occur.
+    A term of several words is a phrase: its stems must follow each other.  Words are
+    stemmed once per distinct word; only occurrences of wanted stems are grouped.
     """
-    text = F.concat_ws(" ", "titulo_canonico", "resumen_canonico")
-    doc = F.concat(F.lit(" "), F.array_join(stems(text), " "), F.lit(" "))
-
-    def contains(words: str) -> Column:
-        inner = F.array_join(stems(F.lit(words)), " ")
-        return doc.contains(F.concat(F.lit(" "), inner, F.lit(" ")))
+    terms = list(dict.fromkeys([*all_of, *any_of, *none_of]))
+    if not terms:
+        return stories
+    spark = stories.sparkSession
+    query = (
+        spark.createDataFrame([(t,) for t in terms], "term string")
+        .select("term", F.posexplode(words_of("term")).alias("offset", "word"))
+        .select("term", "offset", stem(F.col("word")).alias("stem"))
+    )
+    lengths = query.groupBy("term").agg(F.count(F.lit(1)).alias("length"))
 
-    wanted = F.lit(True)
-    for words in [*all_of, *phrases]:
-        wanted = wanted & contains(words)
+    text = F.concat_ws(" ", "titulo_canonico", "resumen_canonico")
+    occurrences = stories.select("story_id", F.posexplode(words_of(text)).alias("at", "word"))
+    vocabulary = occurrences.select("word").distinct().withColumn("stem", stem(F.col("word")))
+    wanted = vocabulary.join(query, "stem").select("word", "term", "offset")
+    found = (
+        occurrences.join(wanted, "word")
+        .groupBy("story_id", "term", (F.col("at") - F.col("offset")).alias("start"))
+        .agg(F.count_distinct("offset").alias("matched"))
+        .join(lengths, "term")
+        .filter(F.col("matched") == F.col("length"))
+        .groupBy("story_id")
+        .agg(*[F.max((F.col("term") == t).cast("int")).alias(f"_t{i}") for i, t in enumerate(terms)])
+    )
+    rows = stories.join(found, "story_id", "left")
+    has = {t: F.coalesce(F.col(f"_t{i}"), F.lit(0)) == 1 for i, t in enumerate(terms)}
+    wanted_rows = F.lit(True)
+    for t in all_of:
+        wanted_rows = wanted_rows & has[t]
+    for t in none_of:
+        wanted_rows = wanted_rows & ~has[t]
     if any_of:
-        some = F.lit(False)
-        for word in any_of:
-            some = some | contains(word)
-        wanted = wanted & some
-    for word in none_of:
-        wanted = wanted & ~contains(word)
-    return stories.filter(wanted)
+        wanted_rows = wanted_rows & F.greatest(F.lit(False), *[has[t] for t in any_of])
+    return rows.filter(wanted_rows).select(*stories.columns)
 
 
 def stories_of_outlets(articles: DataFrame, outlets: DataFrame, slugs: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ SALTS = 32
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan (an upper bound for scans, filters, projections)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def lookup_join(fact: DataFrame, dim: DataFrame, key: str, how: str = "inner") -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -100,11 +100,28 @@ def observe_late(items: DataFrame, ts: str, as_of: Column, name: str = "ingest",
     return items.observe(name, F.count(F.lit(1)).alias("seen"), F.count_if(late).alias("late"))
 
 
+def stream_sessions(articles: DataFrame, key: str = "story_id", ts: str = "fecha_pub", gap_hours: int = V.CLUSTER_WINDOW_HOURS) -> DataFrame:
+    """Bursts of activity per key on a stream with a watermark."""
+    return articles.groupBy(key, F.session_window(ts, f"{gap_hours} hours").alias("session")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
 def story_sessions(articles: DataFrame, key: str = "story_id", ts: str = "fecha_pub", gap_hours: int = V.CLUSTER_WINDOW_HOURS) -> DataFrame:
-    """Bursts of activity: rows of a key less than the gap apart (batch and streaming)."""
-    session = F.session_window(ts, f"{gap_hours} hours")
-    return (
-        articles.groupBy(key, session.alias("session"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("first_at"), F.max(ts).alias("last_at"))
-        .drop("session")
+    """Bursts of activity per key in batch: rows less than the gap apart.
+
+    Rows of one hour always belong together, so they are aggregated first; the ordered
+    window only sees one row per key and active hour, however many articles a key has.
+    """
+    hours = articles.groupBy(key, F.date_trunc("hour", ts).alias("hour")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(ts).alias("first_at"), F.max(ts).alias("last_at")
+    )
+    w = Window.partitionBy(key).orderBy("hour")
+    gap = F.unix_micros(F.col("first_at").cast("timestamp")) - F.unix_micros(
+        F.lag("last_at").over(w).cast("timestamp")
+    )
+    starts = F.coalesce((gap >= gap_hours * 3_600_000_000).cast("int"), F.lit(1))
+    numbered = hours.withColumn("_start", starts).withColumn("session", F.sum("_start").over(w))
+    return numbered.groupBy(key, "session").agg(
+        F.sum("n").alias("n"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at")
     )
