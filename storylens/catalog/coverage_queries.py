@@ -249,7 +249,7 @@ def search_contains(n):
     return SR.search_contains(n.stories, "ring").select("story_id", "titulo_canonico")
 
 
-@register("search_fulltext")
+@register("search_fulltext", query(r"select story_id, titulo_canonico from (select *, titulo_canonico || ' ' || resumen_canonico as x from spans) where regexp_matches(x, '\bring\b') and regexp_matches(x, '\b(small|red)\b') and not regexp_matches(x, '\bwidget\b')", "spans"))
 def search_fulltext(n):
     return SR.search_fulltext(n.stories, all_of=["ring"], any_of=["small", "red"], none_of=["widget"]).select("story_id", "titulo_canonico")
 

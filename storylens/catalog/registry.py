@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.session import ship_package
 from .tables import News
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -15,6 +16,7 @@ ORACLES: dict[str, str] = {}
 def register(name: str, sql: str | None = None):
     def wrap(build: Callable[[News], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship_package(spark)
             return build(News(spark, str(folder).rstrip("/")))
 
         QUERIES[name] = run

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as V
-from .text import _col, normalize_for_match
+from .text import _col, let, normalize_for_match
 
 
 def _any(text: Column, patterns: list[str]) -> Column:
@@ -37,8 +37,13 @@ def is_club_sports_low_value(text: Column) -> Column:
 
 def is_tv_advance(title, summary) -> Column:
     raw = F.concat(_col(title), F.lit(" "), F.coalesce(_col(summary), F.lit("")))
-    text = normalize_for_match(raw)
+    return let(
+        F.struct(raw.alias("raw"), normalize_for_match(raw).alias("text")),
+        lambda x: _tv_advance(x["raw"], x["text"]),
+    )
+
 
+def _tv_advance(raw: Column, text: Column) -> Column:
     def on_raw(pattern: str) -> Column:
         # The raw text has accents, so \b and \s must not use Java's own classes.
         return raw.rlike(
@@ -51,16 +56,20 @@ def is_tv_advance(title, summary) -> Column:
 
 
 def is_low_value(title, summary) -> Column:
-    title = _col(title)
-    summary = F.coalesce(_col(summary), F.lit(""))
-    text = normalize_for_match(F.concat(title, F.lit(" "), summary))
-    return F.coalesce(
-        (text != "")
-        & (
-            is_templated(title)
-            | is_lottery_low_value(text)
-            | is_club_sports_low_value(text)
-            | is_tv_advance(title, summary)
-        ),
-        F.lit(False),
+    """Any of the rules above; the text is normalised once for all of them."""
+    raw = F.concat(_col(title), F.lit(" "), F.coalesce(_col(summary), F.lit("")))
+    texts = F.struct(
+        raw.alias("raw"),
+        normalize_for_match(raw).alias("text"),
+        normalize_for_match(title).alias("title"),
     )
+
+    def judge(x: Column) -> Column:
+        return (x["text"] != "") & (
+            _any(x["title"], V.TEMPLATED_TITLES)
+            | is_lottery_low_value(x["text"])
+            | is_club_sports_low_value(x["text"])
+            | _tv_advance(x["raw"], x["text"])
+        )
+
+    return F.coalesce(let(texts, judge), F.lit(False))

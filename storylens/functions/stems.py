@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _col
+from .text import _col, let
 
 VOWEL = "[aeiouáéíóúü]"
 CONSONANT = "[^aeiouáéíóúü]"
@@ -40,11 +40,6 @@ VERBS = (
 )
 
 
-def _let(value: Column, body) -> Column:
-    """Bind ``value`` once, so that the steps below do not multiply the expression."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _region(head: Column, word: Column, before=0) -> Column:
     """Start of the region after ``head`` (past the end of the word without one)."""
     return F.when(head > 0, before + head + 1).otherwise(F.length(word) + 1)
@@ -63,7 +58,7 @@ def _strip(word: Column, start: Column, suffixes: str, replacement: str = "") ->
         kept = F.substring(word, F.lit(1), F.length(word) - suffix)
         return F.when(inside, F.concat(kept, F.lit(replacement)))
 
-    return _let(F.length(F.regexp_extract(word, f"(?:{suffixes})$", 0)), body)
+    return let(F.length(F.regexp_extract(word, f"(?:{suffixes})$", 0)), body)
 
 
 def stem(word: Column) -> Column:
@@ -71,19 +66,19 @@ def stem(word: Column) -> Column:
     rv_pattern = rf"^(?:.{CONSONANT}.*?{VOWEL}|{VOWEL}{VOWEL}.*?{CONSONANT}|{CONSONANT}{VOWEL}.)"
 
     def with_word(w: Column) -> Column:
-        return _let(_after_first(w), lambda h1: with_head(w, h1))
+        return let(_after_first(w), lambda h1: with_head(w, h1))
 
     def with_head(w: Column, h1: Column) -> Column:
         h2 = _after_first(F.substring(w, h1 + 1, F.length(w)))
         regions = F.struct(
             _region(F.length(F.regexp_extract(w, rv_pattern, 0)), w).alias("rv"),
             _region(h1, w).alias("r1"),
-            _let(h2, lambda h: F.when(h1 > 0, _region(h, w, h1)).otherwise(F.length(w) + 1)).alias("r2"),
+            let(h2, lambda h: F.when(h1 > 0, _region(h, w, h1)).otherwise(F.length(w) + 1)).alias("r2"),
         )
-        return _let(regions, lambda at: with_regions(w, at))
+        return let(regions, lambda at: with_regions(w, at))
 
     def with_regions(w: Column, at: Column) -> Column:
-        return _let(_without_pronoun(w, at["rv"]), lambda s0: with_base(s0, at))
+        return let(_without_pronoun(w, at["rv"]), lambda s0: with_base(s0, at))
 
     def with_base(s0: Column, at: Column) -> Column:
         # Step 1: the first standard suffix that applies; step 2: verbs, if none did.
@@ -94,7 +89,7 @@ def stem(word: Column) -> Column:
             F.regexp_replace(_strip(s0, at["rv"], VERBS_E), "gu$", "g"),
             s0,
         )
-        return _let(shorter, lambda s2: residual(s2, at))
+        return let(shorter, lambda s2: residual(s2, at))
 
     def residual(s2: Column, at: Column) -> Column:
         # Step 3: residual vowels, then accents.
@@ -105,7 +100,7 @@ def stem(word: Column) -> Column:
         )
         return F.translate(left, "áéíóú", "aeiou")
 
-    return _let(word, with_word)
+    return let(word, with_word)
 
 
 def _without_pronoun(w: Column, rv: Column) -> Column:
@@ -118,9 +113,9 @@ def _without_pronoun(w: Column, rv: Column) -> Column:
         return F.when((bare != "") & (cut_at + 1 >= rv), plain).otherwise(w)
 
     bare = F.regexp_extract(w, rf"^(.*(?:{forms}|uyendo))(?:{PRONOUNS})$", 1)
-    return _let(
+    return let(
         bare,
-        lambda b: _let(F.regexp_extract(b, f"(?:{forms}|yendo)$", 0), lambda f: with_form(b, f)),
+        lambda b: let(F.regexp_extract(b, f"(?:{forms}|yendo)$", 0), lambda f: with_form(b, f)),
     )
 
 

@@ -18,6 +18,11 @@ def _col(c) -> Column:
     return c if isinstance(c, Column) else F.col(c)
 
 
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once for ``body``: without it every use would repeat its expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 @lru_cache(maxsize=1)
 def _accent_table() -> tuple[str, str]:
     """Characters that decompose to one base character plus marks, and those bases."""
@@ -45,11 +50,7 @@ def js_trim(c) -> Column:
 def fold_accents(c) -> Column:
     """Lower-case and strip combining marks, keeping white space."""
     source, target = _accent_table()
-    lowered = F.lower(_col(c))
-    return F.when(
-        lowered.rlike(r"[^\x00-\x7F]"),
-        F.regexp_replace(F.translate(lowered, source, target), r"\p{M}", ""),
-    ).otherwise(lowered)
+    return F.regexp_replace(F.translate(F.lower(_col(c)), source, target), r"\p{M}+", "")
 
 
 def normalize_token(c) -> Column:
@@ -104,10 +105,10 @@ def bigrams_of_normalized(normalized: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Jaccard of two arrays without repeats; 0 when either is empty."""
-    shared = F.size(F.array_intersect(a, b))
-    return F.when(
-        (F.size(a) > 0) & (F.size(b) > 0), shared / (F.size(a) + F.size(b) - shared)
-    ).otherwise(F.lit(0.0))
+    return let(
+        F.size(F.array_intersect(a, b)),
+        lambda shared: F.when(shared > 0, shared / (F.size(a) + F.size(b) - shared)).otherwise(F.lit(0.0)),
+    )
 
 
 def weighted_similarity(tokens_a, bigrams_a, tokens_b, bigrams_b) -> Column:
@@ -117,12 +118,19 @@ def weighted_similarity(tokens_a, bigrams_a, tokens_b, bigrams_b) -> Column:
 
 
 def similarity(a, b) -> Column:
-    na, nb = normalize_for_match(a), normalize_for_match(b)
-    return weighted_similarity(
-        tokens_of_normalized(na),
-        bigrams_of_normalized(na),
-        tokens_of_normalized(nb),
-        bigrams_of_normalized(nb),
+    def sets(text) -> Column:
+        return let(
+            normalize_for_match(text),
+            lambda n: F.struct(
+                tokens_of_normalized(n).alias("tokens"), bigrams_of_normalized(n).alias("bigrams")
+            ),
+        )
+
+    return let(
+        F.struct(sets(a).alias("a"), sets(b).alias("b")),
+        lambda x: weighted_similarity(
+            x["a"]["tokens"], x["a"]["bigrams"], x["b"]["tokens"], x["b"]["bigrams"]
+        ),
     )
 
 
@@ -176,6 +184,9 @@ def _decode_once(c: Column) -> Column:
 
     def piece(p: Column) -> Column:
         code = F.lower(F.regexp_extract(p, r"(?i)^&(#x[0-9a-f]+|#\d+|[a-z]+);", 1))
+        return let(code, lambda x: with_code(p, x))
+
+    def with_code(p: Column, code: Column) -> Column:
         rest = F.substring(p, F.length(code) + 3, F.length(p))
         # Code points have at most six hex or seven decimal digits; longer runs stay as text.
         hex_digits = F.regexp_extract(code, "^#x0*([0-9a-f]{1,6})$", 1)
@@ -183,12 +194,14 @@ def _decode_once(c: Column) -> Column:
         number = F.when(hex_digits != "", F.conv(hex_digits, 16, 10).try_cast("int")).when(
             dec_digits != "", dec_digits.try_cast("int")
         )
+        decoded = F.coalesce(let(number, character), F.try_element_at(named, code))
+        return F.when((code != "") & decoded.isNotNull(), F.concat(decoded, rest)).otherwise(p)
+
+    def character(number: Column) -> Column:
         valid = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-        char = F.when(
+        return F.when(
             valid, F.decode(F.unhex(F.lpad(F.hex(number.cast("long")), 8, "0")), "UTF-32")
         )
-        decoded = F.coalesce(char, F.try_element_at(named, code))
-        return F.when((code != "") & decoded.isNotNull(), F.concat(decoded, rest)).otherwise(p)
 
     return F.array_join(F.transform(F.split(c, "(?=&)"), piece), "")
 
@@ -211,7 +224,10 @@ def strip_html(c) -> Column:
 
 def snippet(c, limit: int = V.SNIPPET_DISPLAY_CHARS) -> Column:
     """Short excerpt: cut at a late sentence end, else at the last whole word."""
-    t = squash(F.coalesce(_col(c), F.lit("")))
+    return let(squash(F.coalesce(_col(c), F.lit(""))), lambda t: _excerpt(t, limit))
+
+
+def _excerpt(t: Column, limit: int) -> Column:
     cut = F.substring(t, 1, limit)
     backwards = F.reverse(cut)
     sentence_from_end = F.instr(backwards, " .")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _col
+from .text import _col, let
 
 
 def parse_vector(c) -> Column:
@@ -25,15 +25,17 @@ def norm(a) -> Column:
 def cosine(a, b) -> Column:
     """0 for empty, zero-length or differently sized vectors."""
     a, b = _col(a), _col(b)
-    scale = norm(a) * norm(b)
-    usable = (F.size(a) == F.size(b)) & (F.size(a) > 0) & (scale > 0)
-    return F.when(usable, dot(a, b) / scale).otherwise(F.lit(0.0))
+    same_size = (F.size(a) == F.size(b)) & (F.size(a) > 0)
+    angle = let(norm(a) * norm(b), lambda scale: F.when(scale > 0, dot(a, b) / scale))
+    return F.coalesce(F.when(same_size, angle), F.lit(0.0))
 
 
 def unit(a) -> Column:
     a = _col(a)
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
+    return let(
+        norm(a),
+        lambda n: F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0))),
+    )
 
 
 def merge_centroid(centroid, count, incoming) -> Column:

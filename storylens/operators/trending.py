@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..functions.text import _col, fold_accents, js_trim
+from ..functions.text import _col, fold_accents, js_trim, let
 from .stories import top_by_importance
 from ..functions.dates import minus
+from ..plans.lineage import cut
 
 
 def trend_words(title) -> Column:
@@ -38,23 +39,22 @@ def _terms(words: Column) -> Column:
             w["norm"].alias("term"), _label(w["surface"]).alias("label"), i.alias("place"), F.lit(1).alias("words")
         ),
     )
-    starts = F.filter(F.sequence(F.lit(0), F.size(words) - 2), lambda i: i >= 0)
+    different = lambda i: F.get(words, i)["norm"] != F.get(words, i + 1)["norm"]
+    starts = F.filter(F.sequence(F.lit(0), F.size(words) - 2), different)
     bigrams = F.transform(
         starts,
-        lambda i: F.struct(
-            F.concat_ws(" ", F.get(words, i)["norm"], F.get(words, i + 1)["norm"]).alias("term"),
-            F.concat_ws(" ", _label(F.get(words, i)["surface"]), _label(F.get(words, i + 1)["surface"])).alias("label"),
-            i.alias("place"),
-            F.lit(2).alias("words"),
+        lambda i: let(
+            F.struct(F.get(words, i).alias("x"), F.get(words, i + 1).alias("y")),
+            lambda p: F.struct(
+                F.concat_ws(" ", p["x"]["norm"], p["y"]["norm"]).alias("term"),
+                F.concat_ws(" ", _label(p["x"]["surface"]), _label(p["y"]["surface"])).alias("label"),
+                i.alias("place"),
+                F.lit(2).alias("words"),
+            ),
         ),
     )
-    pairs = F.when(F.size(words) >= 2, bigrams).otherwise(F.array().cast(
-        "array<struct<term:string,label:string,place:int,words:int>>"
-    ))
-    different = F.filter(
-        pairs, lambda t: F.get(F.split(t["term"], " "), F.lit(0)) != F.get(F.split(t["term"], " "), F.lit(1))
-    )
-    return F.concat(unigrams, different)
+    none = F.array().cast("array<struct<term:string,label:string,place:int,words:int>>")
+    return F.concat(unigrams, F.when(F.size(words) >= 2, bigrams).otherwise(none))
 
 
 def tf_df(titles: DataFrame, id_col: str = "story_id", title_col: str = "titulo_canonico", group: list[str] = ()) -> DataFrame:
@@ -64,7 +64,7 @@ def tf_df(titles: DataFrame, id_col: str = "story_id", title_col: str = "titulo_
     that occurs everywhere is pre-aggregated by every task before it is shuffled.
     """
     rows = titles.filter(js_trim(F.col(title_col)) != "").select(
-        *group, F.col(id_col).alias("_doc"), _terms(trend_words(title_col)).alias("_terms")
+        *group, F.col(id_col).alias("_doc"), let(trend_words(title_col), _terms).alias("_terms")
     )
     exploded = rows.select(*group, "_doc", F.explode("_terms").alias("t"))
     # One row per (title, term): repeats inside a title meet again without hot groups.
@@ -109,10 +109,11 @@ def trending_pick(scores: DataFrame, max_terms: int = 12) -> DataFrame:
     so the unigrams that can be picked lie in the first ``3 * max_terms`` of their ranking.
     """
     order = [F.col("score").desc(), F.col("first_doc"), F.col("first_place"), F.col("term")]
+    scores = cut(scores)
     remaining = scores.filter("words = 2").withColumn("_w", F.split("term", " "))
     picked = None
     for round_ in range(min(V.TREND_MAX_BIGRAMS, max_terms)):
-        best = remaining.orderBy(*order).limit(1).withColumn("_round", F.lit(round_))
+        best = cut(remaining.orderBy(*order).limit(1).withColumn("_round", F.lit(round_)))
         picked = best if picked is None else picked.unionByName(best)
         used = best.select("_w").scalar()
         remaining = remaining.filter(

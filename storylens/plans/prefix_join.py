@@ -33,17 +33,14 @@ def ranked_features(docs: DataFrame, sets: dict[str, tuple[str, float]]) -> Data
     feature to the end.  The order is (document frequency, feature): every task computes
     it alike.  The list collected per text is that text's own feature set.
     """
-    parts = []
-    for name, (column, share) in sets.items():
+    def weighted(name: str, column: str, share: float) -> Column:
         weight = F.lit(share) / F.greatest(F.size(column), F.lit(1))
-        parts.append(
-            F.transform(
-                F.col(column),
-                lambda f, name=name, weight=weight: F.struct(
-                    F.concat(F.lit(name), f).alias("feature"), weight.alias("weight")
-                ),
-            )
+        return F.transform(
+            F.col(column),
+            lambda f: F.struct(F.concat(F.lit(name), f).alias("feature"), weight.alias("weight")),
         )
+
+    parts = [weighted(name, column, share) for name, (column, share) in sets.items()]
     exploded = docs.select("id", F.explode(F.concat(*parts)).alias("f")).select("id", "f.*")
     frequency = exploded.groupBy("feature").agg(F.count(F.lit(1)).alias("df"))
     ordered = (
