@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.coverage import story_coverage
+from ..plans.joins import spread
 from ..sources import fixtures
 
 
@@ -39,7 +40,7 @@ class News:
 
     @cached_property
     def texts(self) -> DataFrame:
-        return fixtures.text_articles(self.spark, self.folder)
+        return spread(fixtures.text_articles(self.spark, self.folder))
 
     @cached_property
     def vectors(self) -> DataFrame:

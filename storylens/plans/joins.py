@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +12,15 @@ SALTS = 32
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (an upper bound for scans, filters, projections)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Catalyst's size estimate of a plan (an upper bound for scans, filters, projections).
+
+    Estimates of stacked joins multiply and can outgrow what Python parses as a number;
+    such a plan counts as unbounded.
+    """
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    except ValueError:
+        return sys.maxsize
 
 
 def lookup_join(fact: DataFrame, dim: DataFrame, key: str, how: str = "inner") -> DataFrame:
@@ -26,3 +35,13 @@ def lookup_join(fact: DataFrame, dim: DataFrame, key: str, how: str = "inner") -
     salted_dim = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted_fact = fact.withColumn("_salt", F.pmod(F.xxhash64(*fact.columns), F.lit(SALTS)).cast("int"))
     return salted_fact.join(salted_dim, [key, "_salt"], how).drop("_salt")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan with fewer splits than cores one partition per core.
+
+    Meant for CPU-heavy row expressions on small files; a table with many splits, as any
+    large one has, is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -21,23 +21,28 @@ from pyspark.sql import functions as F
 
 from .lineage import cut
 
-HOT_KEY_ROWS = 64
+HOT_KEY_ROWS = 256
 MAX_KEY_FEATURES = 4
 SLACK = 1e-9
 
 
-def ranked_features(docs: DataFrame, sets: dict[str, tuple[str, float]]) -> DataFrame:
-    """Rows (id, sizes, features): features as (feature, weight, tail), rarest first.
+def ranked_features(docs: DataFrame, sets: dict[str, tuple[str, float]], lead: str | None = None) -> DataFrame:
+    """Rows (id, features): features as (late, feature, weight, tail), rarest first.
 
     ``docs`` has ``id`` and one array column per set; ``tail`` is the sum of weights from a
     feature to the end.  The order is (document frequency, feature): every task computes
-    it alike.  The list collected per text is that text's own feature set.
+    it alike.  Values in the array column ``lead`` come before all others.  The list
+    collected per text is that text's own feature set.
     """
     def weighted(name: str, column: str, share: float) -> Column:
         weight = F.lit(share) / F.greatest(F.size(column), F.lit(1))
         return F.transform(
             F.col(column),
-            lambda f: F.struct(F.concat(F.lit(name), f).alias("feature"), weight.alias("weight")),
+            lambda f: F.struct(
+                (~F.array_contains(lead, f) if lead else F.lit(True)).alias("late"),
+                F.concat(F.lit(name), f).alias("feature"),
+                weight.alias("weight"),
+            ),
         )
 
     parts = [weighted(name, column, share) for name, (column, share) in sets.items()]
@@ -46,14 +51,14 @@ def ranked_features(docs: DataFrame, sets: dict[str, tuple[str, float]]) -> Data
     ordered = (
         exploded.join(frequency, "feature")
         .groupBy("id")
-        .agg(F.array_sort(F.collect_list(F.struct("df", "feature", "weight"))).alias("o"))
+        .agg(F.array_sort(F.collect_list(F.struct("late", "df", "feature", "weight"))).alias("o"))
     )
     features = F.reverse(
         F.aggregate(
             F.reverse(F.col("o")),
             F.struct(
                 F.lit(0.0).alias("tail"),
-                F.array().cast("array<struct<feature:string,weight:double,tail:double>>").alias("out"),
+                F.array().cast("array<struct<late:boolean,feature:string,weight:double,tail:double>>").alias("out"),
             ),
             lambda acc, x: F.struct(
                 (acc["tail"] + x["weight"]).alias("tail"),
@@ -61,6 +66,7 @@ def ranked_features(docs: DataFrame, sets: dict[str, tuple[str, float]]) -> Data
                     acc["out"],
                     F.array(
                         F.struct(
+                            x["late"].alias("late"),
                             x["feature"].alias("feature"),
                             x["weight"].alias("weight"),
                             (acc["tail"] + x["weight"]).alias("tail"),
@@ -79,18 +85,20 @@ def candidate_pairs(
     sets: dict[str, tuple[str, float]],
     threshold: float,
     block: str | None = None,
+    lead: str | None = None,
     hot_rows: int = HOT_KEY_ROWS,
     max_features: int = MAX_KEY_FEATURES,
 ) -> DataFrame:
     """Distinct pairs (a, b), a < b, that contain every pair reaching ``threshold``.
 
     ``docs`` must have unique feature sets (collapse copies first).  With ``block`` only
-    pairs of the same block value are wanted.
+    pairs of the same block value are wanted, with ``lead`` (an array column of feature
+    values) only pairs that share one of its values.
     """
     names = list(sets)
     columns = [sets[n][0] for n in names]
     shares = [sets[n][1] for n in names]
-    features = cut(ranked_features(docs, sets))
+    features = cut(ranked_features(docs, sets, lead))
     sizes = docs.select(
         "id",
         *[F.size(c).alias(f"n{i}") for i, c in enumerate(columns)],
@@ -102,7 +110,7 @@ def candidate_pairs(
     keys = (
         features.join(sizes, "id")
         .select("id", *size_names, "block", F.posexplode("features").alias("at", "f"))
-        .filter(F.col("f.tail") >= limit)
+        .filter((F.col("f.tail") >= limit) & (~F.col("f.late") if lead else F.lit(True)))
         .select(
             "id",
             *size_names,
