@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.relevance import is_low_value
 from ..functions.text import decode_entities, has_entities
 from ..functions.dates import minus
+from ..plans.joins import lookup_join
 from .coverage import story_rollup
 
 
@@ -86,7 +87,7 @@ def check_merge_pairs(pairs: DataFrame, stories: DataFrame) -> tuple[DataFrame,
 def merge_stories(articles: DataFrame, outlets: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Move articles of each source to its target; new articles and recomputed targets."""
     mapping = pairs.select(F.col("source").alias("story_id"), F.col("target").alias("_target"))
-    moved = articles.join(mapping, "story_id", "left").withColumn(
+    moved = lookup_join(articles, mapping, "story_id", "left").withColumn(
         "story_id", F.coalesce("_target", "story_id")
     ).drop("_target").select(*articles.columns)
     targets = pairs.select(F.col("target").alias("story_id")).distinct()

@@ -21,9 +21,9 @@ def cover_image(articles: DataFrame, stories: DataFrame) -> DataFrame:
     titles = stories.select("story_id", "titulo_canonico")
     dated = F.coalesce(epoch_micros("fecha_pub"), F.lit(0))
     canonical = F.coalesce(F.col("titulo") == F.col("titulo_canonico"), F.lit(False))
+    pictured = articles.filter("imagen_url is not null and imagen_url <> '' and story_id is not null")
     return (
-        articles.filter("imagen_url is not null and imagen_url <> '' and story_id is not null")
-        .join(titles, "story_id")
+        lookup_join(pictured, titles, "story_id")
         .select(
             "story_id",
             F.struct(

@@ -27,7 +27,9 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
     edges = cut(edges.select("a", "b").filter("a <> b").distinct())
     state = _state(edges)
     while True:
-        edges = cut(_star(_star(edges, large=True), large=False))
+        # Steps add no nodes, and there are at most two per edge.
+        nodes_bound = 2 * (state[0] or 0)
+        edges = cut(_star(_star(edges, True, nodes_bound), False, nodes_bound))
         new_state = _state(edges)
         if new_state == state:
             break
@@ -42,7 +44,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
     )
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, nodes_bound: int) -> DataFrame:
     """One step.  Edges come out as (a, b) with a > b."""
     high, low = F.greatest("a", "b"), F.least("a", "b")
     if large:
@@ -52,7 +54,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         both = edges.select(high.alias("u"), low.alias("v"))
     smallest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    joined = lookup_join(both, smallest, "u")
+    joined = lookup_join(both, smallest, "u", rows=nodes_bound)
     if large:
         moved = joined.filter(F.col("v") > F.col("u"))
         kept = moved.select(F.col("v").alias("a"), F.col("m").alias("b"))

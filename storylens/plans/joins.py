@@ -23,14 +23,22 @@ def plan_bytes(df: DataFrame) -> int:
         return sys.maxsize
 
 
-def lookup_join(fact: DataFrame, dim: DataFrame, key: str, how: str = "inner") -> DataFrame:
+ROW_BYTES = 256
+
+
+def lookup_join(
+    fact: DataFrame, dim: DataFrame, key: str, how: str = "inner", rows: int | None = None
+) -> DataFrame:
     """Join ``fact`` to a dimension with one row per ``key``.
 
     A dimension of a checked small size is broadcast.  A larger one is joined by shuffle;
     since a single key may hold a large part of the facts, that join is salted: each
     dimension row is repeated once per salt and facts of one key go to ``SALTS`` tasks.
+    ``rows`` is a counted bound of the dimension's rows, for narrow dimensions whose plan
+    estimate says nothing (estimates multiply over the rounds of iterative jobs).
     """
-    if plan_bytes(dim) <= BROADCAST_LIMIT_BYTES:
+    size = plan_bytes(dim) if rows is None else rows * ROW_BYTES
+    if size <= BROADCAST_LIMIT_BYTES:
         return fact.join(F.broadcast(dim), key, how)
     salted_dim = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted_fact = fact.withColumn("_salt", F.pmod(F.xxhash64(*fact.columns), F.lit(SALTS)).cast("int"))

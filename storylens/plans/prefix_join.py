@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import lookup_join
 from .lineage import cut
 
 HOT_KEY_ROWS = 256
@@ -47,9 +48,10 @@ def ranked_features(docs: DataFrame, sets: dict[str, tuple[str, float]], lead: s
 
     parts = [weighted(name, column, share) for name, (column, share) in sets.items()]
     exploded = docs.select("id", F.explode(F.concat(*parts)).alias("f")).select("id", "f.*")
-    frequency = exploded.groupBy("feature").agg(F.count(F.lit(1)).alias("df"))
+    # Common features are carried by most texts, hence a lookup and not a plain join.
+    frequency = cut(exploded.groupBy("feature").agg(F.count(F.lit(1)).alias("df")))
     ordered = (
-        exploded.join(frequency, "feature")
+        lookup_join(exploded, frequency, "feature", rows=frequency.count())
         .groupBy("id")
         .agg(F.array_sort(F.collect_list(F.struct("late", "df", "feature", "weight"))).alias("o"))
     )
@@ -122,13 +124,14 @@ def candidate_pairs(
     pairs: list[DataFrame] = []
     for length in range(1, max_features + 1):
         keys = cut(keys)
-        carried = keys.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+        carried = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"))
+        keyed = lookup_join(keys, carried, "key", rows=carried.count())
         last = length == max_features
-        usable = carried if last else carried.filter(F.col("rows") <= hot_rows)
-        pairs.append(_join_on_key(keys.join(usable, "key", "left_semi"), size_names, shares, limit))
+        usable = keyed if last else keyed.filter(F.col("rows") <= hot_rows)
+        pairs.append(_join_on_key(usable, size_names, shares, limit))
         if last:
             break
-        hot = cut(keys.join(carried.filter(F.col("rows") > hot_rows), "key", "left_semi"))
+        hot = cut(keyed.filter(F.col("rows") > hot_rows).drop("rows"))
         if hot.isEmpty():
             break
         pairs.append(_join_on_key(hot.filter(F.col("key_weight") >= limit), size_names, shares, limit))
