@@ -16,6 +16,8 @@ ORACLES: dict[str, str] = {}
 def register(name: str, sql: str | None = None):
     def wrap(build: Callable[[News], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
+            # Civil days are derived from UTC timestamps.
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
             ship_package(spark)
             return build(News(spark, str(folder).rstrip("/")))
 
