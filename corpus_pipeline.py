@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from storylens.llm import decontam, packing, secrets, simhash, toxicity
+from storylens.llm import decontam, packing, secret_scan, simhash, toxicity
 from storylens.llm.common import prepare, store, table
 
 #: Toxicity and near-duplicates can't be said in SQL; tests hold the stages against plain code.
@@ -68,7 +68,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     own = ["n_chars"] if "n_chars" in docs.columns else []
-    return _unfolded(secrets.redact(_folded(docs, *own)), docs, *own)
+    return _unfolded(secret_scan.redact(_folded(docs, *own)), docs, *own)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

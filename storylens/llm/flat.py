@@ -12,6 +12,7 @@ import numpy as np
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(0x100000001B3)
+STEP = 1 << 16  # words hashed at once
 EDGE = np.uint64(1)  # stands for the border of a word in n-grams
 
 
@@ -48,20 +49,24 @@ class Words:
         code = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         self.code = lower[code]
         inside = is_word[code]
-        step = np.diff(inside.astype(np.int8), prepend=0, append=0)
-        self.first, self.last = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        del code
+        # Texts end with a separator, so a word ends before the array does.
+        starts = inside.copy()
+        starts[1:] &= ~inside[:-1]
+        self.first = np.flatnonzero(starts)
+        self.last = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
         ends = np.cumsum([len(t) + 1 for t in texts])
         self.doc = np.searchsorted(ends, self.first, side="right")
         self.n_docs = len(texts)
-        if len(self.first):
-            size = self.last - self.first
-            at = np.flatnonzero(inside)
-            begin = np.concatenate(([0], np.cumsum(size)[:-1]))
-            place = np.arange(len(at)) - np.repeat(begin, size)
-            values = self.code[at].astype(np.uint64) * _powers(int(size.max()))[place]
-            self.hash = mix(np.add.reduceat(values, begin))
-        else:
-            self.hash = np.zeros(0, dtype=np.uint64)
+        self.hash = np.zeros(len(self.first), dtype=np.uint64)
+        for lo in range(0, len(self.first), STEP):  # some words at a time, to save memory
+            part = slice(lo, lo + STEP)
+            size = self.last[part] - self.first[part]
+            begin = np.cumsum(size) - size
+            place = np.arange(size.sum()) - np.repeat(begin, size)
+            values = self.code[np.repeat(self.first[part], size) + place].astype(np.uint64)
+            values *= _powers(int(size.max()))[place]
+            self.hash[part] = mix(np.add.reduceat(values, begin))
 
     def unique(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct hashes, an occurrence of each, and the number of each occurrence's hash."""

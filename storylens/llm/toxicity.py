@@ -14,7 +14,10 @@ Null, empty and wordless texts score 0.  Without labels of both kinds every text
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,13 +27,14 @@ from .common import bounded_sample, held_out, map_texts, slices, spread
 #: Labelled rows of each kind that the network is fitted on, and characters of the longest text among them.
 FIT_TOXIC = 1000
 FIT_CLEAN = 1600
-FIT_CHARS = 12000
+FIT_CHARS = 8000
+FIT_SLICE = 50
 WINDOW, STRIDE = 32, 16
 THRESHOLD = 0.3
 ORDERS = range(4, 7)
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 4, 4
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 14, 1 << 15
-STEPS, BATCH, RATE = 400, 64, 0.01
+TURNS, STEPS, BATCH, RATE = 3, 300, 64, 0.01
 #: Share of words whose learned embeddings are hidden in a training step, so that the network cannot learn texts by heart.
 HIDE = 0.5
 PIECE = 1 << 21
@@ -83,21 +87,25 @@ class Features:
         return padded[np.where(inside, at, len(self.word_of))], doc
 
 
-def log_odds(features: Features, labels: np.ndarray):
+def log_odds(features: Features, labels: np.ndarray, among: np.ndarray | None = None):
     """For words and n-grams: sorted keys and shrunken log odds by the number of texts that hold them."""
-    words = features.words
-    pair = flat.distinct(words.doc * max(1, len(features.keys)) + features.word_of)
-    doc, word = np.divmod(pair, max(1, len(features.keys)))
-    n = features.n_grams[word]
-    gram = features.gram[np.repeat(features.first_gram[word], n) + _ranges(n)]
-    gram_keys, gram_number = np.unique(gram, return_inverse=True)
-    gram_pair = flat.distinct(np.repeat(doc, n) * max(1, len(gram_keys)) + gram_number)
+    among = np.ones(len(labels), dtype=bool) if among is None else among
+    words, n_words = features.words, max(1, len(features.keys))
+    pair = flat.distinct(words.doc * n_words + features.word_of)
+    doc, word = np.divmod(pair, n_words)
+    gram_keys, gram_number = np.unique(features.gram, return_inverse=True)
+    counts = [np.zeros((2, len(features.keys)), dtype=np.int64), np.zeros((2, len(gram_keys)), dtype=np.int64)]
+    for lo in range(0, len(labels), FIT_SLICE):  # some texts at a time: their n-grams are many
+        of = slice(*np.searchsorted(doc, [lo, lo + FIT_SLICE]))
+        n = features.n_grams[word[of]]
+        held = gram_number[np.repeat(features.first_gram[word[of]], n) + _ranges(n)]
+        in_doc, gram = np.divmod(flat.distinct(np.repeat(doc[of], n) * max(1, len(gram_keys)) + held), max(1, len(gram_keys)))
+        for count, number, texts in ((counts[0], word[of], doc[of]), (counts[1], gram, in_doc)):
+            for kind in (0, 1):
+                count[kind] += np.bincount(number[(labels[texts] == kind) & among[texts]], minlength=count.shape[1])
     tables = []
-    toxic, clean = labels.sum(), (1 - labels).sum()
-    for keys, pairs in ((features.keys, pair), (gram_keys, gram_pair)):
-        of_doc, number = np.divmod(pairs, max(1, len(keys)))
-        t = np.bincount(number, weights=labels[of_doc], minlength=len(keys))
-        c = np.bincount(number, minlength=len(keys)) - t
+    toxic, clean = labels[among].sum(), (1 - labels[among]).sum()
+    for keys, (c, t) in ((features.keys, counts[0]), (gram_keys, counts[1])):
         value = np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1))
         value *= (t + c) / (t + c + 4)
         often = t + c >= 2
@@ -265,8 +273,8 @@ def fit_texts(texts: list[str], labels: list[int], seed: int = 7) -> dict | None
     windows, doc = features.windows()
     parts = []
     for k in (0, 1):
-        other = [i for i in range(len(y)) if half[i] != k] or list(range(len(y)))
-        parts.append(features.odds(log_odds(Features([texts[i] for i in other]), y[other])))
+        other = half != k if (half != k).any() else half == k
+        parts.append(features.odds(log_odds(features, y, other)))
     # A word's odds depend on the half its text is in: words are numbered once per half.
     odds = np.concatenate(parts)
     both = _doubled(features)
@@ -274,7 +282,7 @@ def fit_texts(texts: list[str], labels: list[int], seed: int = 7) -> dict | None
     shifted = np.where(windows == pad, 2 * pad, windows + half[doc][:, None] * pad)
     strength = np.append(odds[:, :2].max(1), -9.0)[shifted].max(1)
     net = new_network(seed)
-    for turn in range(2):
+    for turn in range(TURNS):
         score = strength if turn == 0 else window_logits(net, both, odds, shifted)
         toxic = y[doc] == 1
         best = _strongest(score, doc, 1)
@@ -326,15 +334,23 @@ def fit(documents: DataFrame, labels: DataFrame, n_toxic: int = FIT_TOXIC, n_cle
         labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     )
-    rows = []
+    texts = documents.filter(F.length("text").between(1, FIT_CHARS)).select("doc_id", "text")
+    parts = []
     for kind, n in ((1, n_toxic), (0, n_clean)):
-        # At most 2 n ids are broadcast.
+        # At most 2 n ids are broadcast, and as many texts taken.
         wanted = bounded_sample(of_doc.filter(F.col("toxic") == kind), n, "doc_id")
-        texts = documents.filter(F.length("text").between(1, FIT_CHARS)).select("doc_id", "text")
-        found = texts.join(F.broadcast(wanted), "doc_id").select("doc_id", "text").limit(2 * n)
-        rows += [(r["doc_id"], kind, r["text"]) for r in found.collect()]
-    rows.sort()
-    return fit_texts([r[2] for r in rows], [r[1] for r in rows])
+        parts.append(texts.join(F.broadcast(wanted), "doc_id").select("doc_id", "text", "toxic").limit(2 * n))
+
+    def work(batches):
+        rows = sorted(
+            (r["doc_id"], r["toxic"], r["text"]) for b in batches for r in b.to_pylist()
+        )
+        model = fit_texts([r[2] for r in rows], [r[1] for r in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    # The bounded sample is fitted in one task: it needs no memory of the driver and is repeated if lost.
+    fitted = parts[0].unionByName(parts[1]).repartition(1).mapInArrow(work, "model binary").collect()
+    return pickle.loads(fitted[0]["model"]) if fitted else None
 
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
