@@ -87,7 +87,7 @@ class Words:
         rolled = np.zeros(len(code), dtype=np.uint64)
         powers = _powers(max(orders))
         wanted = set(orders)
-        for n in range(1, max(orders) + 1):
+        for n in range(1, min(max(orders), len(code)) + 1):
             rolled[: len(code) - n + 1] += code[n - 1 :] * powers[n - 1]
             if n in wanted:
                 ok = ~border if n == 1 else left >= n
