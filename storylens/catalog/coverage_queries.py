@@ -22,9 +22,9 @@ YEAR = "365 days"
 # --- flagship ------------------------------------------------------------------------------
 
 
-@register("blindspots", query("select story_id, outlet_count, importance, izq_pct, centro_pct, der_pct, missing_side, missing_pct from blind order by importance desc, story_id limit 200", "blind"))
+@register("blindspots", query("select story_id, outlet_count, importance, izq_pct, centro_pct, der_pct, missing_side, missing_pct from blind", "blind"))
 def blindspots(n):
-    return B.blindspots(n.coverage, n.as_of, limit=200, window=YEAR).select(
+    return B.blindspots(n.coverage, n.as_of, window=YEAR).select(
         "story_id", "outlet_count", "importance", "izq_pct", "centro_pct", "der_pct", "missing_side", "missing_pct"
     )
 
@@ -185,7 +185,7 @@ def importance_top(n):
 
 HYBRID = """select *, row_number() over (order by score desc, last_pub desc, importance desc, story_id) as position from
  (select c.*, round(ln(1+importance)/ln(1+greatest(1, max(importance) over ()))*0.62 + greatest(0.0, 1 - greatest(0.0, epoch_us(t) - epoch_us(last_pub))/(72*3600000000.0))*0.38, 9) as score
- from (select * from cov order by last_pub desc nulls last, story_id limit 600) c cross join t)"""
+ from cov c cross join t)"""
 
 
 @register("hybrid_rank", query("select story_id, importance, last_pub, round(score, 6) as score, cast(position as int) as position from hybrid", "cov", "t", hybrid=HYBRID))
@@ -196,10 +196,10 @@ def hybrid_rank(n):
 
 @register("featured_story", query("""select story_id, outlet_count, importance, last_pub from hybrid cross join t where outlet_count >= 3 and (izq>0)::int + (centro>0)::int + (der>0)::int >= 2 and t - last_pub <= interval 36 hour order by position limit 1""", "cov", "t", hybrid=HYBRID))
 def featured_story(n):
-    return SR.featured(SR.hybrid_rank(n.coverage, n.as_of), n.as_of).select("story_id", "outlet_count", "importance", "last_pub")
+    return SR.featured(SR.hybrid_score(n.coverage, n.as_of), n.as_of).select("story_id", "outlet_count", "importance", "last_pub")
 
 
-@register("open_pool", query("select story_id, last_pub from cov cross join t where last_pub >= t - interval 4 day order by last_pub desc, story_id limit 800", "cov", "t"))
+@register("open_pool", query("select story_id, last_pub from cov cross join t where last_pub >= t - interval 4 day", "cov", "t"))
 def open_pool(n):
     return ST.open_pool(n.coverage, n.as_of).select("story_id", "last_pub")
 
@@ -215,7 +215,7 @@ def plural_stories(n):
 
 
 @register("indexable_pages", query("""select '/medios/' || slug as path, cast(null as timestamp) as modified from outlets where active union all
- (select '/historia/' || cast(story_id as string), last_pub from cov cross join t where outlet_count >= 2 and last_pub >= t - interval 30 day order by last_pub desc, story_id limit 5000)""", "cov", "t"))
+ select '/historia/' || cast(story_id as string), last_pub from cov cross join t where outlet_count >= 2 and last_pub >= t - interval 30 day""", "cov", "t"))
 def indexable_pages(n):
     return ST.indexable(n.coverage, n.outlets, n.as_of)
 
@@ -306,7 +306,7 @@ def daily_edition(n):
 
 
 @register("weekly_edition", query(f"""select 'top' as section, {EDITION} from top union all select 'sin_' || missing_side, {EDITION} from (select *, row_number() over (partition by missing_side order by importance desc, story_id) as rn from
- (select * from blind order by importance desc, story_id limit 40) where story_id not in (select story_id from top)) where rn <= 3""",
+ blind where story_id not in (select story_id from top)) where rn <= 3""",
  "blind", top="select * from cov cross join t where last_pub >= t - interval 365 day and outlet_count >= 3 order by importance desc, story_id limit 8"))
 def weekly_edition(n):
     return D.weekly_edition(n.coverage, n.as_of, YEAR)
@@ -325,7 +325,7 @@ def daily_items(n):
 
 BRIEF = """select 'izquierda' as side, izq_pct as dominant_pct, * from l union all select 'centro', centro_pct, * from c union all select 'derecha', der_pct, * from r"""
 BRIEF_PARTS = {
-    "pool": "select * from cov where outlet_count >= 2 order by importance desc, story_id limit 150",
+    "pool": "select * from cov where outlet_count >= 2",
     "l": "select * from pool order by izq_pct desc, importance desc, story_id limit 1",
     "c": "select * from pool where story_id not in (select story_id from l) order by centro_pct desc, importance desc, story_id limit 1",
     "r": "select * from pool where story_id not in (select story_id from l union all select story_id from c) order by der_pct desc, importance desc, story_id limit 1",

@@ -36,7 +36,7 @@ TABLES = {
  cast(fr + case when rem > (case when xl>=xr then 1 else 0 end)+(case when xc>=xr then 1 else 0 end) then 1 else 0 end as int) as der_pct, titulo_canonico, resumen_canonico
  from mix2 join spans using (story_id)""",
     "blind": """select k.*, case when izq_pct<=10 and der_pct>=25 then 'izquierda' else 'derecha' end as missing_side, case when izq_pct<=10 and der_pct>=25 then izq_pct else der_pct end as missing_pct from
- (select cov.* from cov cross join t where last_pub >= t - interval 365 day and outlet_count >= 4 order by importance desc, story_id limit 200) k
+ (select cov.* from cov cross join t where last_pub >= t - interval 365 day and outlet_count >= 4) k
  where (izq_pct<=10 and der_pct>=25) or (der_pct<=10 and izq_pct>=25)""",
 }
 NEEDS = {

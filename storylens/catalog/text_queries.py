@@ -96,13 +96,13 @@ def display_texts(n):
     )
 
 
-@register("search_inputs", query(rf"""select doc_id, substring({Q.squash("regexp_replace(titulo, '[%_,()]', ' ', 'g')")}, 1, 160) as term,
+@register("search_inputs", query(rf"""select doc_id, {Q.squash("regexp_replace(titulo, '[%_,()]', ' ', 'g')")} as term,
  'query: ' || {Q.squash("titulo || chr(10) || resumen")} as model_text from text_articles""", "text_articles"))
 def search_inputs(n):
     return n.texts.select("doc_id", T.sanitize_search("titulo").alias("term"), T.embedding_text("titulo", "resumen", "query: ").alias("model_text"))
 
 
-@register("followed_lists", r"""select user_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(string_agg(event_type || '-' || cast(event_id % 7 as string), ', '), ','), lambda s: trim(s)), lambda s: regexp_matches(s, '^[a-z0-9]+(?:-[a-z0-9]+)*$'))))[1:40], ',') as slugs from events group by user_id""")
+@register("followed_lists", r"""select user_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(string_agg(event_type || '-' || cast(event_id % 7 as string), ', '), ','), lambda s: trim(s)), lambda s: regexp_matches(s, '^[a-z0-9]+(?:-[a-z0-9]+)*$')))), ',') as slugs from events group by user_id""")
 def followed_lists(n):
     slug = F.concat_ws("-", "event_type", (F.col("event_id") % 7).cast("string"))
     # Distinct slugs per user are few by construction (kinds of event times seven).
@@ -125,7 +125,7 @@ def _items(n):
 
 @register("feed_cap", query("select feed, position, url, rank from (select *, cast(row_number() over (partition by feed order by position) as int) as rank from items) where rank <= 40", "text_articles", items=ITEM))
 def feed_cap(n):
-    return feeds.cap_items_per_feed(_items(n)).select("feed", "position", "url", "rank")
+    return feeds.cap_items_per_feed(_items(n), 40).select("feed", "position", "url", "rank")
 
 
 @register("dedupe_urls", query("select url, min(fecha_pub) as fecha_pub, count(*) as copies from articles group by url", "articles"))

@@ -37,10 +37,6 @@ MAX_PER_OUTLET = 2
 SNIPPET_DISPLAY_CHARS = 220
 SNIPPET_STORE_CHARS = 300
 PAGE_SIZE = 20
-MAX_PAGE = 200
-HYBRID_CANDIDATES = 600
-MAX_SLUGS = 40
-SEARCH_MAX_CHARS = 160
 MERGE_THRESHOLD = 0.87
 SMALL_MERGE_THRESHOLD = 0.86
 STRONG_MERGE_THRESHOLD = 0.84
@@ -208,13 +204,10 @@ RIGHT_ABOVE = 62
 MISSING_MAX_PCT = 10
 COVERING_MIN_PCT = 25
 BLINDSPOT_MIN_OUTLETS = 4
-BLINDSPOT_POOL = 200
-BRIEF_POOL = 150
 BRIEF_DOMINANT_MIN = 68
 TOP_WEEKLY = 8
 TOP_DAILY = 10
 BLINDSPOTS_PER_SIDE = 3
-WEEKLY_BLINDSPOT_LIMIT = 40
 CLAIM_LEFT = "Ángulo muerto para quien busca más perspectiva desde la derecha."
 CLAIM_RIGHT = "Ángulo muerto para quien busca más perspectiva desde la izquierda."
 CLAIM_CENTER = "Ángulo muerto para quien busca lecturas fuera del centro."

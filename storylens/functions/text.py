@@ -267,14 +267,14 @@ def is_other_language(title) -> Column:
 
 
 def sanitize_search(c) -> Column:
-    return F.substring(squash(F.regexp_replace(_col(c), "[%_,()]", " ")), 1, V.SEARCH_MAX_CHARS)
+    return squash(F.regexp_replace(_col(c), "[%_,()]", " "))
 
 
 def parse_slugs(c) -> Column:
-    """Comma list to distinct valid slugs in first-seen order, at most 40."""
+    """Comma list to distinct valid slugs in first-seen order."""
     parts = F.transform(F.split(F.coalesce(_col(c), F.lit("")), ","), js_trim)
     valid = F.filter(parts, lambda s: s.rlike(V.SLUG_PATTERN))
-    return F.slice(F.array_distinct(valid), 1, V.MAX_SLUGS)
+    return F.array_distinct(valid)
 
 
 def split_feed_urls(c) -> Column:

@@ -14,25 +14,23 @@ from .stories import top_by_importance
 
 
 def blindspots(
-    coverage: DataFrame, as_of, limit: int = 24, pool: int = V.BLINDSPOT_POOL, window: str = "7 days"
+    coverage: DataFrame, as_of, limit: int | None = None, window: str = "7 days"
 ) -> DataFrame:
-    """Stories one side covers and the other barely does.
+    """Stories one side covers and the other barely does, the ``limit`` most important ones if given.
 
-    ``coverage`` has one row per story.  The window, the outlet minimum and the pool apply
-    before shares are looked at; at most ``pool`` rows pass the top-k.
+    ``coverage`` has one row per story.  Every story of the window is looked at; only then
+    is the result cut.
     """
     recent = coverage.filter(
         (F.col("outlet_count") >= V.BLINDSPOT_MIN_OUTLETS) & (F.col("last_pub") >= minus(as_of, window))
     )
     missing = S.missing_side("izq_pct", "der_pct")
-    return (
-        top_by_importance(recent, pool)
-        .withColumn("missing_side", missing)
+    found = (
+        recent.withColumn("missing_side", missing)
         .filter("missing_side is not null")
         .withColumn("missing_pct", F.when(F.col("missing_side") == "izquierda", F.col("izq_pct")).otherwise(F.col("der_pct")))
-        .orderBy(F.col("importance").desc(), "story_id")
-        .limit(limit)
     )
+    return found if limit is None else top_by_importance(found, limit)
 
 
 def blindspots_per_side(blind: DataFrame, top: DataFrame, k: int = V.BLINDSPOTS_PER_SIDE) -> DataFrame:
@@ -41,15 +39,20 @@ def blindspots_per_side(blind: DataFrame, top: DataFrame, k: int = V.BLINDSPOTS_
     return first_per_group(rest, ["missing_side"], [F.col("importance").desc(), F.col("story_id")], k)
 
 
-def side_brief(coverage: DataFrame, pool: int = V.BRIEF_POOL) -> DataFrame:
+def side_brief(coverage: DataFrame) -> DataFrame:
     """One story per side: the unused story with the highest share of that side.
 
-    The pool is a bounded top-k, so the three picks are three rankings of one small
-    partition, each putting stories that were picked before last.
+    All stories are searched.  Two picks at most are taken before a side's turn, so its story is
+    among the three best of that side: the picks are three rankings of nine rows at most,
+    each putting stories that were picked before last.
     """
     plural = coverage.filter((F.col("outlet_count") >= 2) & F.col("izq_pct").isNotNull())
-    rows = top_by_importance(plural, pool).withColumn("_used", F.lit(0))
     picks = [("izquierda", "izq_pct"), ("centro", "centro_pct"), ("derecha", "der_pct")]
+    best = [
+        plural.orderBy(F.col(share).desc(), F.col("importance").desc(), "story_id").limit(len(picks))
+        for _, share in picks
+    ]
+    rows = best[0].unionByName(best[1]).unionByName(best[2]).dropDuplicates(["story_id"]).withColumn("_used", F.lit(0))
     side = F.lit(None).cast("string")
     for order, (name, share) in enumerate(picks):
         rank = F.row_number().over(

@@ -27,7 +27,7 @@ def daily_edition(coverage: DataFrame, since) -> DataFrame:
 def weekly_edition(coverage: DataFrame, as_of, window: str = "7 days") -> DataFrame:
     """Top stories of the week and the blindspots of each side, as one long table."""
     top = top_plural(coverage, minus(as_of, window), 3, V.TOP_WEEKLY)
-    blind = blindspots(coverage, as_of, V.WEEKLY_BLINDSPOT_LIMIT, window=window)
+    blind = blindspots(coverage, as_of, window=window)
     sides = blindspots_per_side(blind, top).withColumn(
         "section", F.concat(F.lit("sin_"), F.col("missing_side"))
     )

@@ -9,6 +9,7 @@ from ..functions import fixed_values as V
 from ..functions import spectrum as S
 from ..functions.dates import epoch_micros, as_column, hours_between, window_since
 from ..functions.stems import stem, words_of
+from ..plans.ranking import rank_in_group
 
 
 def story_window(stories: DataFrame, window: str, as_of) -> DataFrame:
@@ -109,7 +110,7 @@ def intersect_story_ids(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def page_bounds(number: int, size: int = V.PAGE_SIZE) -> tuple[int, int]:
-    return (max(1, min(V.MAX_PAGE, number)) - 1) * size, size
+    return (max(1, number) - 1) * size, size
 
 
 def page(ordered: DataFrame, number: int, size: int = V.PAGE_SIZE) -> DataFrame:
@@ -121,43 +122,50 @@ def page(ordered: DataFrame, number: int, size: int = V.PAGE_SIZE) -> DataFrame:
     return (
         numbered.withColumn("has_more", F.count(F.lit(1)).over(everything) > size)
         .filter(F.col("_at") <= size)
+        .withColumn("position", F.col("_at") + offset)
         .drop("_at")
     )
 
 
-def hybrid_rank(stories: DataFrame, as_of, candidates: int = V.HYBRID_CANDIDATES) -> DataFrame:
-    """Recency and importance mixed over the newest candidates.
-
-    Only the bounded candidate set reaches the unpartitioned windows.
-    """
-    newest = stories.orderBy(F.col("last_pub").desc_nulls_last(), "story_id").limit(candidates)
-    pool = Window.partitionBy()
-    top = F.greatest(F.lit(1), F.max("importance").over(pool))
+def hybrid_score(stories: DataFrame, as_of) -> DataFrame:
+    """Recency and importance mixed, for every story; importance is relative to the highest one."""
+    highest = stories.agg(F.greatest(F.lit(1), F.max("importance")).alias("_top"))  # one row
+    top = F.col("_top")
     age_share = F.greatest(
         F.lit(0.0),
         (epoch_micros(as_column(as_of)) - F.coalesce(epoch_micros("last_pub"), F.lit(0)))
         / F.lit(72 * 3_600_000_000.0),
     )
     recency = F.greatest(F.lit(0.0), 1 - age_share)
-    scored = newest.withColumn(
+    return stories.crossJoin(F.broadcast(highest)).withColumn(
         "score", F.round(F.log1p("importance") / F.log1p(top) * 0.62 + recency * 0.38, 9)
+    ).drop("_top")
+
+
+def _hybrid_order() -> list[Column]:
+    return [F.col("score").desc(), F.col("last_pub").desc_nulls_last(), F.col("importance").desc(), F.col("story_id")]
+
+
+def hybrid_rank(stories: DataFrame, as_of) -> DataFrame:
+    """All stories with ``score`` and their ``position`` by it.
+
+    Scores in hundredths are slots that are counted; rows are numbered inside their slot, so
+    no task sorts all stories.
+    """
+    scored = hybrid_score(stories, as_of).withColumn("_all", F.lit(0))
+    slot = (-F.floor(F.col("score") * 100)).cast("int")
+    return rank_in_group(scored, ["_all"], [slot], _hybrid_order(), "position").drop("_all").withColumn(
+        "position", F.col("position").cast("int")
     )
-    order = Window.orderBy(
-        F.col("score").desc(),
-        F.col("last_pub").desc_nulls_last(),
-        F.col("importance").desc(),
-        F.col("story_id"),
-    )
-    return scored.withColumn("position", F.row_number().over(order))
 
 
-def featured(ranked: DataFrame, as_of) -> DataFrame:
-    """First ranked story with three outlets, two sides and 36 hours of age at most."""
+def featured(scored: DataFrame, as_of) -> DataFrame:
+    """Best scored story with three outlets, two sides and 36 hours of age at most."""
     on_side = sum((F.col(c) > 0).cast("int") for c in ("izq", "centro", "der"))
     fresh = hours_between(as_column(as_of), "last_pub") <= 36
     return (
-        ranked.filter((F.col("outlet_count") >= 3) & (on_side >= 2) & fresh)
-        .orderBy("position")
+        scored.filter((F.col("outlet_count") >= 3) & (on_side >= 2) & fresh)
+        .orderBy(*_hybrid_order())
         .limit(1)
     )
 
@@ -189,5 +197,5 @@ def list_stories(
     if order == "relevantes":
         ordered = rows.orderBy(F.col("importance").desc(), "story_id")
     else:
-        ordered = hybrid_rank(rows, as_of).orderBy("position")
+        ordered = hybrid_score(rows, as_of).orderBy(*_hybrid_order())
     return page(ordered, number)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fixed_values as V
 from ..functions import spectrum as S
 from ..functions.dates import as_column, epoch_micros, minus
 from ..plans.joins import lookup_join
@@ -126,15 +127,16 @@ def missing_dates(stories: DataFrame, articles: DataFrame) -> DataFrame:
     return stories.filter("last_pub is null").join(articles.select("story_id"), "story_id", "left_semi")
 
 
-def open_pool(stories: DataFrame, as_of, days: int = 4, n: int = 800) -> DataFrame:
-    """Stories still open for new articles: active in the last days, newest first."""
-    return newest_first(stories.filter(F.col("last_pub") >= minus(as_of, f"{days} days"))).limit(n)
+def open_pool(stories: DataFrame, as_of, days: int = V.LOOKBACK_DAYS, n: int | None = None) -> DataFrame:
+    """Stories still open for new articles: active in the last days; the newest ``n`` if given."""
+    active = stories.filter(F.col("last_pub") >= minus(as_of, f"{days} days"))
+    return active if n is None else newest_first(active).limit(n)
 
 
-def indexable(stories: DataFrame, outlets: DataFrame, as_of, n: int = 5000) -> DataFrame:
-    """Pages worth indexing: active outlets, and recent stories of two outlets or more."""
+def indexable(stories: DataFrame, outlets: DataFrame, as_of, n: int | None = None) -> DataFrame:
+    """Pages worth indexing: active outlets, and recent stories of two outlets or more (the newest ``n`` if given)."""
     recent = stories.filter((F.col("outlet_count") >= 2) & (F.col("last_pub") >= minus(as_of, "30 days")))
-    story_pages = newest_first(recent).limit(n).select(
+    story_pages = (recent if n is None else newest_first(recent).limit(n)).select(
         F.concat(F.lit("/historia/"), F.col("story_id").cast("string")).alias("path"),
         F.col("last_pub").alias("modified"),
     )

@@ -137,10 +137,10 @@ def trending_pick(scores: DataFrame, max_terms: int = 12) -> DataFrame:
     )
 
 
-def trending_titles(stories: DataFrame, as_of=None, n: int = 120) -> DataFrame:
-    """Input of the trend list: the last 48 hours' plural stories, or all-time top."""
+def trending_titles(stories: DataFrame, as_of=None, n: int | None = None) -> DataFrame:
+    """Input of the trend list: the last 48 hours' plural stories, or all; the ``n`` most important if given."""
     if as_of is not None:
         stories = stories.filter(
             (F.col("last_pub") >= minus(as_of, "48 hours")) & (F.col("outlet_count") >= 2)
         )
-    return top_by_importance(stories, n)
+    return stories if n is None else top_by_importance(stories, n)

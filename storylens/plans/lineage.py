@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` in the folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where neither the session nor the context names one (plain local tests) is a
-    temporary folder set.
+    A local session may go without one (plain tests); on a cluster a temporary folder would be
+    another disk on every machine, so there it is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if not spark.conf.get("spark.checkpoint.dir", "") and context.getCheckpointDir() is None:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()

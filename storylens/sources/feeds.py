@@ -91,7 +91,7 @@ def read_feed_json(spark: SparkSession, path: str) -> DataFrame:
     return parse_feed_json(files)
 
 
-def cap_items_per_feed(items: DataFrame, n: int = V.MAX_ITEMS_PER_FEED) -> DataFrame:
+def cap_items_per_feed(items: DataFrame, n: int) -> DataFrame:
     """First ``n`` items of each feed in feed order."""
     return first_per_group(items, ["feed"], [F.col("position")], n)
 
