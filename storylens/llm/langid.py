@@ -49,29 +49,28 @@ def fit(rows: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
                             {"lang": lang, "kind": order, "key": key.view(np.int64), "n": freq.astype(np.int64)}
                         )
 
-    counts = (
-        spread(sample).select("text", "lang").mapInPandas(count, "lang string, kind int, key long, n long")
-        .groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
-    )
-    # Bounded: as many rows as a sample of FIT_ROWS texts of FIT_CHARS characters can have at most.
-    found = counts.toPandas()
-    langs = sorted(found["lang"].unique())
+    docs = {r["lang"]: r["n"] for r in sample.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    langs = sorted(docs)
     model = {"langs": langs, "tables": []}
     if not langs:
         return model
-    docs = {r["lang"]: r["n"] for r in sample.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = np.array([docs.get(lang, 0) for lang in langs], dtype=float)
+    share = np.array([docs[lang] for lang in langs], dtype=float)
     model["share"] = share / share.sum()
+    each = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{i}") for i, lang in enumerate(langs)]
+    counts = (
+        spread(sample).select("text", "lang").mapInPandas(count, "lang string, kind int, key long, n long")
+        .groupBy("kind", "key").agg(F.sum("n").alias("n"), *each)
+        .filter((F.col("kind") > 0) | (F.col("n") >= MIN_WORD))
+    )
+    # Bounded: as many rows as a sample of FIT_ROWS texts of FIT_CHARS characters can have at most.
+    found = counts.drop("n").toPandas()
     for kind in (0, *ORDERS):
-        part = found[found["kind"] == kind]
-        keys, at = np.unique(part["key"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
-        n = np.zeros((len(keys), len(langs)))
-        n[at, np.searchsorted(langs, part["lang"].to_numpy(dtype=str))] = part["n"]
+        part = found[found["kind"] == kind].sort_values("key")
+        keys = part["key"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        n = part[[f"n{i}" for i in range(len(langs))]].to_numpy(float)[order]
         logs = np.log((n + SMOOTH) / (n.sum(0) + SMOOTH * (len(keys) + 1)))
-        if kind == 0:
-            often = n.sum(1) >= MIN_WORD
-            keys, logs = keys[often], logs[often]
-        model["tables"].append((keys, logs.astype(np.float32)))
+        model["tables"].append((keys[order], logs.astype(np.float32)))
     return model
 
 
