@@ -137,9 +137,11 @@ def listed(found: DataFrame) -> DataFrame:
 def scan(docs: DataFrame) -> DataFrame:
     """``docs`` with ``spans`` in place of ``text``: an ordered array of (start, kind, end)."""
     rows = store(with_parts(docs.drop("spans")), "secret-rows")
-    return rows.drop("parts").join(listed(spans(rows)), "digest", "left").drop("digest").withColumn(
-        "spans", F.coalesce("spans", F.expr("cast(array() as array<struct<start: bigint, kind: int, end: bigint>>)"))
-    )
+    nothing = F.expr("cast(array() as array<struct<start: bigint, kind: int, end: bigint>>)")
+    found = rows.filter("digest is not null").drop("parts").join(listed(spans(rows)), "digest", "left")
+    # Texts without parts, nearly all, take no part in the join.
+    clean = rows.filter("digest is null").drop("parts", "digest").withColumn("spans", nothing)
+    return found.drop("digest").withColumn("spans", F.coalesce("spans", nothing)).unionByName(clean)
 
 
 def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
