@@ -154,14 +154,14 @@ def _xml(c):
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "&", "&amp;"), "<", "&lt;"), "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]", " ")
 
 
-@register("feed_xml", query(rf"""select source as feed, doc_id, regexp_replace(titulo, '^\s+|\s+$', '', 'g') as title, timestamp '2024-01-01 10:00:00' as fecha_pub, 'img/' || cast(doc_id as string) as imagen_url from text_articles where {Q.squash('titulo')} <> '' and not contains(titulo, '&')""", "text_articles"))
+@register("feed_xml", query(rf"""select source as feed, doc_id, regexp_replace(titulo, '^\s+|\s+$', '', 'g') as title, timestamp '2024-01-01 10:00:00' as fecha_pub, 'img/' || cast(doc_id as string) as imagen_url from text_articles where {Q.squash('titulo')} <> ''""", "text_articles"))
 def feed_xml(n):
     item = F.concat(
         F.lit("<rss><channel><item><title>"), _xml(F.col("titulo")), F.lit("</title><link>https://x/"), F.col("doc_id").cast("string"),
         F.lit("</link><description>"), _xml(F.col("resumen")), F.lit("</description><pubDate>Mon, 01 Jan 2024 10:00:00 GMT</pubDate><enclosure url=\"img/"),
         F.col("doc_id").cast("string"), F.lit("\"/></item></channel></rss>"),
     )
-    payloads = n.texts.filter("not contains(titulo, '&')").select(F.col("source").alias("feed"), item.alias("payload"))
+    payloads = n.texts.select(F.col("source").alias("feed"), item.alias("payload"))
     rows = feeds.parse_feed_xml(payloads).filter("title <> ''")
     return rows.select("feed", F.substring_index("url", "/", -1).cast("long").alias("doc_id"), "title", F.col("fecha_pub").cast("timestamp_ntz").alias("fecha_pub"), "imagen_url")
 

@@ -11,11 +11,14 @@ from ..functions.relevance import is_low_value
 from ..functions.text import decode_entities, item_image, item_summary, js_trim, strip_html
 from ..plans.ranking import first_per_group
 
-ITEM_SCHEMA = (
-    "title string, link string, description string, summary string, content string, "
-    "pubDate string, isoDate string, enclosure struct<_url:string>, "
-    "`media:content` struct<_url:string>"
+ITEM_TYPE = (
+    "array<struct<title:string,link:array<struct<_href:string,_rel:string,_VALUE:string>>,"
+    "description:string,summary:string,content:string,"
+    "isoDate:string,`dc:date`:string,pubDate:string,published:string,updated:string,"
+    "enclosure:struct<_url:string>,`media:content`:struct<_url:string>>>"
 )
+#: RSS holds items in its channel, RSS 1.0 beside it, Atom has entries.
+FEED_SCHEMA = f"channel struct<item:{ITEM_TYPE}>, item {ITEM_TYPE}, entry {ITEM_TYPE}"
 POST_SCHEMA = (
     "array<struct<link:string,date:string,title:struct<rendered:string>,"
     "excerpt:struct<rendered:string>>>"
@@ -23,40 +26,44 @@ POST_SCHEMA = (
 ITEM_COLUMNS = ["feed", "position", "url", "title", "summary", "fecha_pub", "imagen_url"]
 
 
-def read_feed_xml(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame:
-    """Items of landed RSS files; use ``row_tag='entry'`` for Atom payloads.
-
-    ``feed`` is the file and ``position`` keeps the order of items within it.
-    """
-    rows = (
-        spark.read.format("xml").option("rowTag", row_tag).schema(ITEM_SCHEMA).load(path)
-        .withColumn("feed", F.input_file_name())
-        .withColumn("position", F.monotonically_increasing_id())
+def read_feed_xml(spark: SparkSession, path: str) -> DataFrame:
+    """Items of landed RSS and Atom files; ``feed`` is the file."""
+    files = spark.read.text(path, wholetext=True).select(
+        F.input_file_name().alias("feed"), F.col("value").alias("payload")
     )
-    return _items(rows)
+    return parse_feed_xml(files)
 
 
 def parse_feed_xml(payloads: DataFrame, feed: str = "feed", payload: str = "payload") -> DataFrame:
-    """Items of feed payloads held in a column, one row per item."""
-    items = F.split(F.col(payload), "(?=<item[ >])")
-    rows = (
-        payloads.select(F.col(feed).alias("feed"), F.posexplode(items).alias("position", "_xml"))
-        .filter(F.col("_xml").rlike("^<item[ >]"))
-        .withColumn("_xml", F.regexp_extract("_xml", r"(?s)^(<item[ >].*?</item>)", 1))
-        .withColumn("_item", F.from_xml("_xml", ITEM_SCHEMA))
-        .select("feed", F.col("position").cast("long"), "_item.*")
+    """Items of RSS and Atom payloads held in a column, one row per item.
+
+    ``position`` keeps the order of items.  A payload that is not well-formed has no items.
+    """
+    parsed = payloads.select(
+        F.col(feed).alias("feed"), F.from_xml(F.col(payload), FEED_SCHEMA).alias("_feed")
     )
-    return _items(rows)
+    lists = [F.coalesce(F.col(c), F.array()) for c in ("_feed.channel.item", "_feed.item", "_feed.entry")]
+    rows = parsed.select("feed", F.posexplode(F.concat(*lists)).alias("position", "_item"))
+    return _items(rows.select("feed", F.col("position").cast("long"), "_item.*"))
+
+
+def _link(links: str) -> Column:
+    """Text of the link (RSS), else the address of the alternate one, else the first address (Atom)."""
+    text = F.filter(links, lambda x: x["_VALUE"].isNotNull())
+    page = F.filter(links, lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+    return F.coalesce(F.get(text, 0)["_VALUE"], F.get(page, 0)["_href"], F.get(links, 0)["_href"])
 
 
 def _items(rows: DataFrame) -> DataFrame:
     return rows.select(
         "feed",
         "position",
-        js_trim("link").alias("url"),
+        js_trim(_link("link")).alias("url"),
         js_trim(decode_entities(F.col("title"))).alias("title"),
         item_summary("description", "summary", "content").alias("summary"),
-        parse_pub_date("isoDate", "pubDate").alias("fecha_pub"),
+        parse_pub_date(
+            F.coalesce("isoDate", "`dc:date`"), F.coalesce("pubDate", "published", "updated")
+        ).alias("fecha_pub"),
         item_image(F.col("enclosure._url"), F.col("`media:content`._url")).alias("imagen_url"),
     )
 

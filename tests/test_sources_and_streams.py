@@ -30,6 +30,27 @@ def test_read_feed_xml_files(spark, tmp_path):
     assert rows["https://x/2"].fecha_pub is None and rows["https://x/2"].summary == ""
 
 
+def test_parse_feed_xml_reads_rss_rdf_and_atom(spark):
+    payloads = [
+        ("rss", "<rss><channel><link>https://c</link><item><title><![CDATA[a <item b]]></title><link>https://x/1</link>"
+                "<dc:date xmlns:dc='d'>2024-01-01T10:00:00Z</dc:date></item></channel></rss>"),
+        ("rdf", "<rdf:RDF xmlns:rdf='r'><channel><title>c</title></channel><item><title>r</title><link>https://x/2</link></item></rdf:RDF>"),
+        ("atom", "<feed xmlns='http://www.w3.org/2005/Atom'><link href='https://f'/>"
+                 "<entry><title type='html'>A &amp;amp; B</title><link rel='self' href='https://x/s'/>"
+                 "<link rel='alternate' href='https://x/3'/><summary type='html'>s</summary>"
+                 "<published>2024-01-02T10:00:00Z</published><updated>2024-01-03T10:00:00Z</updated></entry>"
+                 "<entry><title>only</title><link href='https://x/4'/><updated>2024-01-03T10:00:00Z</updated></entry></feed>"),
+        ("cut", "<rss><channel><item><title>x</title>"), ("none", None), ("empty", ""),
+    ]
+    rows = feeds.parse_feed_xml(spark.createDataFrame(payloads, "feed string, payload string")).collect()
+    assert [(r.feed, r.position, r.url, r.title, r.summary, r.fecha_pub and r.fecha_pub.day) for r in rows] == [
+        ("rss", 0, "https://x/1", "a <item b", "", 1),
+        ("rdf", 0, "https://x/2", "r", "", None),
+        ("atom", 0, "https://x/3", "A & B", "s", 2),
+        ("atom", 1, "https://x/4", "only", "", 3),
+    ]
+
+
 def test_read_feed_json_files(spark, tmp_path):
     posts = [
         {"link": "https://x/1", "date": "2024-01-01T10:00:00", "title": {"rendered": "<i>Uno</i>"}, "excerpt": {"rendered": "<p>r</p>"}},
