@@ -134,10 +134,10 @@ def similarity(a, b) -> Column:
     )
 
 
-def compare_text(title, summary) -> Column:
-    """Title plus the part of the summary that takes part in comparisons."""
-    head = F.substring(squash(F.coalesce(_col(summary), F.lit(""))), 1, V.SUMMARY_COMPARE_CHARS)
-    return F.concat(_col(title), F.lit("\n"), head)
+def compare_text(title, summary, chars: int | None = None) -> Column:
+    """Title and summary as compared: the whole summary, or its first ``chars`` characters."""
+    whole = squash(F.coalesce(_col(summary), F.lit("")))
+    return F.concat(_col(title), F.lit("\n"), whole if chars is None else F.substring(whole, 1, chars))
 
 
 def lexical_score(title_a, summary_a, title_b, summary_b) -> Column:
