@@ -16,6 +16,8 @@ from ..plans.session import ship_package
 BATCH_ROWS = 512
 #: Bytes of one Arrow batch.
 BATCH_BYTES = 8 << 20
+#: Keys that hold more than one row in so many are hot: there are fewer of them than this.
+HOT_KEYS = 4096
 #: Python code of a task works on at most this many characters of short texts at once.
 PIECE_CHARS = 1 << 20
 
@@ -56,6 +58,20 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hot_join(facts: DataFrame, dim: DataFrame, *keys: str) -> DataFrame:
+    """Inner join of ``facts`` to a side with one row per key, none of which is null.
+
+    Keys with more than one in ``HOT_KEYS`` of the facts are fewer than ``HOT_KEYS``, so their rows of ``dim`` are
+    broadcast and their facts stay where they are; the facts of all other keys are shuffled.  Both sides are read
+    more than once: they should be stored tables, or cheap to derive from one.
+    """
+    names = list(keys)
+    held = facts.groupBy(*names).agg(F.count(F.lit(1)).alias("_held"))
+    hot = store(held.filter(F.col("_held") * HOT_KEYS > facts.count()).select(*names), "hot-keys")
+    few = F.broadcast(dim.join(F.broadcast(hot), names, "left_semi"))
+    return facts.join(few, names).unionByName(facts.join(F.broadcast(hot), names, "left_anti").join(dim, names))
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that no classifier learns from: crc32 of the id as text leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

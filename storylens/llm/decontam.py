@@ -2,8 +2,8 @@
 
 Texts are compared in lower case with runs of white space as one space.  A benchmark item is cut into
 segments of ``SEGMENT`` characters that overlap by half (a shorter item is one segment).  A segment of ``m``
-characters may differ from a region of a document by ``m // EDIT_SHARE`` edits ``k``.  Then both share at
-least ``m - q + 1 - k q`` q-grams whose diagonals lie within ``k`` of each other.  Shared q-grams are counted in
+characters may differ from a region of a document by ``m // EDIT_SHARE`` edits ``k``, or by fewer if a short
+segment could else lose all its q-grams (``edit_budget``).  Then both share at least ``m - q + 1 - k q`` q-grams whose diagonals lie within ``k`` of each other.  Shared q-grams are counted in
 bands of ``2 k + 1`` diagonals that overlap by ``k``; bands that reach the bound are verified by alignment
 inside the band.  Nothing within the budget is lost.
 
@@ -82,6 +82,11 @@ def _grams(code: np.ndarray) -> np.ndarray:
     return flat.mix(h8[:-4] * b4 + h4[8:])
 
 
+def edit_budget(size):
+    """Edits that a segment of this size may have: so few that q-grams without any remain."""
+    return np.minimum(size // EDIT_SHARE, (size - Q) // Q)
+
+
 class Index:
     """q-grams of the segments of some items."""
 
@@ -98,7 +103,7 @@ class Index:
         self.segments = [np.frombuffer(b, dtype=np.uint32) for b in places]
         self.items = [sorted(i, key=lambda x: (x is None, x)) for i in places.values()]
         self.size = np.array([len(s) for s in self.segments], dtype=np.int64)
-        self.edits = self.size // EDIT_SHARE
+        self.edits = edit_budget(self.size)
         self.bound = self.size - Q + 1 - self.edits * Q
         hashes = [_grams(s) for s in self.segments]
         number = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
@@ -146,8 +151,8 @@ class Index:
             for i in range(0, len(of), 4096):
                 pick = of[i : i + 4096]
                 rows = np.stack([self.segments[s] for s in number[pick]])
-                start, end, edits = align(code, rows, first[pick], int(m) // EDIT_SHARE)
-                ok = edits <= int(m) // EDIT_SHARE
+                start, end, edits = align(code, rows, first[pick], int(edit_budget(m)))
+                ok = edits <= int(edit_budget(m))
                 out += zip(number[pick][ok].tolist(), start[ok].tolist(), end[ok].tolist(), edits[ok].tolist())
         return out
 

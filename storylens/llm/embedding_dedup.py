@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..plans.components import connected_components
-from .common import spread, store
+from .common import hot_join, spread, store
 
 THRESHOLD = 0.93
 PASSES = 8
@@ -156,11 +156,10 @@ def neighbour_links(distinct: DataFrame, turn: int, threshold: float, bits: int
 def exact_links(members: DataFrame, threshold: float) -> DataFrame:
     """(cid, links): the weight of all other vectors of the component that reach the threshold.
 
-    ``members``: component, cid, label, dim, embedding, weight.
+    ``members``: component, cid, embedding, weight, and chunks, the number that the component is cut into.
     """
-    chunks = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
     spread_out = (
-        members.join(chunks, "component")
+        members
         .withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .withColumn("p", F.least("chunk", "other")).withColumn("q", F.greatest("chunk", "other"))
@@ -200,20 +199,23 @@ def near_duplicates(
         connected_components(store(edges.distinct(), "vector-links")).select(F.col("id").alias("cid"), "component"),
         "vector-components",
     )
-    members = found.join(distinct, "cid").select("component", "cid", "label", "dim", "embedding", "weight")
-    links = exact_links(members, threshold)
-    lowest = (
-        found.join(distinct.select("cid", "low"), "cid").groupBy("component").agg(F.min("low").alias("component_id"))
+    # A component may hold most vectors: it is sized and named before the vectors, one per ``cid``, are joined.
+    lows = found.join(distinct.select("cid", "low"), "cid")
+    named = lows.groupBy("component").agg(
+        F.min("low").alias("component_id"), F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")
     )
+    sized = store(hot_join(found, store(named, "vector-groups"), "component"), "vector-sized")
+    members = sized.join(distinct, "cid").select("component", "chunks", "cid", "embedding", "weight")
     of_class = (
         distinct.select("cid", "k1", "k2", "low", "weight")
-        .join(found.join(lowest, "component"), "cid", "left").join(links, "cid", "left")
+        .join(sized.select("cid", "component_id"), "cid", "left").join(exact_links(members, threshold), "cid", "left")
         .select(
             "k1", "k2", F.coalesce("component_id", "low").alias("component_id"),
             (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
         )
     )
-    able = rows.filter("usable").select("vec_id", "k1", "k2").join(of_class, ["k1", "k2"])
+    # So may the copies of a vector.
+    able = hot_join(rows.filter("usable").select("vec_id", "k1", "k2"), store(of_class, "vector-answers"), "k1", "k2")
     alone = rows.filter("not usable").select("vec_id", F.col("vec_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     out = able.select("vec_id", "component_id", "n_links").unionByName(alone)
     return out.select(

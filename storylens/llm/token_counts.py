@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder, spread, store
+from .common import hot_join, shared_folder, spread, store
 
 VOCABULARY = "piece_bpe_32k.model"
 LIMIT = 4096
@@ -142,7 +142,7 @@ def count(docs: DataFrame, cache: str, name: str = VOCABULARY) -> DataFrame:
     keyed = store(
         rows.select(*rest, "content", F.octet_length("text").cast("long").alias("n_bytes")), "token-rows"
     )
-    return keyed.join(stored, "content").select(*rest, "n_bytes", "n_tokens")
+    return hot_join(keyed, stored, "content").select(*rest, "n_bytes", "n_tokens")
 
 
 def op5(documents: DataFrame, cache: str | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 import corpus_pipeline
 from storylens.catalog.check import compare, connect
 from storylens.llm import chat, embedding_dedup, packing, simhash
-from storylens.llm.common import prepare, table
+from storylens.llm.common import hot_join, prepare, table
 from storylens.llm.queries import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -30,6 +30,17 @@ def empty(spark):
     return spark.createDataFrame([], "doc_id long, text string")
 
 
+def test_hot_join_equals_a_join(spark, monkeypatch):
+    monkeypatch.setattr("storylens.llm.common.HOT_KEYS", 10)
+    facts = spark.range(900).selectExpr("id", "if(id % 3 = 0, 0, id % 50) as a", "if(id % 7 = 0, null, 'x') as b")
+    dim = spark.range(40).selectExpr("id as a", "'x' as b", "id * 2 as v")
+    for keys in (["a"], ["a", "b"]):
+        right = dim if len(keys) == 2 else dim.drop("b")
+        want = facts.join(right, keys).select("id", "v").collect()
+        assert sorted(hot_join(facts, right, *keys).select("id", "v").collect()) == sorted(want)
+    assert hot_join(facts.limit(0), dim, "a", "b").collect() == []
+
+
 def joined(n, pairs):
     root = list(range(n))
 

@@ -244,6 +244,18 @@ def test_passages_within_the_budget_are_found():
             assert any(m["item_id"] == i for m in found[1])
 
 
+def test_short_items_are_found_within_their_budget():
+    rng = random.Random(8)
+    for n in range(decontam.MIN_CHARS, 64):
+        item = "".join(rng.choice("abcdefghij") for _ in range(n))
+        budget = int(decontam.edit_budget(n))
+        index = decontam.Index([(1, item)])
+        assert (index.bound > 0).all()
+        text = "z" * 300 + damaged(item, budget, rng) + "z" * 300
+        assert decontam.search_texts(index, [text])[0]
+        assert decontam.search_texts(index, ["z" * 600])[0] == []
+
+
 def test_spans_are_those_of_the_text():
     item = "Some sentence of a benchmark that nobody should find in any document at all, not once."
     text = "Before. \n\n" + item.replace(" ", " \t") + "  After."
