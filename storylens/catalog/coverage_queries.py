@@ -24,7 +24,7 @@ YEAR = "365 days"
 
 @register("blindspots", query("select story_id, outlet_count, importance, izq_pct, centro_pct, der_pct, missing_side, missing_pct from blind", "blind"))
 def blindspots(n):
-    return B.blindspots(n.coverage, n.as_of, window=YEAR).select(
+    return B.blindspots(n.coverage_of(YEAR), n.as_of, window=YEAR).select(
         "story_id", "outlet_count", "importance", "izq_pct", "centro_pct", "der_pct", "missing_side", "missing_pct"
     )
 
@@ -201,12 +201,12 @@ def featured_story(n):
 
 @register("open_pool", query("select story_id, last_pub from cov cross join t where last_pub >= t - interval 4 day", "cov", "t"))
 def open_pool(n):
-    return ST.open_pool(n.coverage, n.as_of).select("story_id", "last_pub")
+    return ST.open_pool(n.coverage_of("4 days"), n.as_of).select("story_id", "last_pub")
 
 
 @register("story_window", query("select story_id, last_pub from cov cross join t where last_pub >= t - interval 30 day", "cov", "t"))
 def story_window(n):
-    return SR.story_window(n.coverage, "30d", n.as_of).select("story_id", "last_pub")
+    return SR.story_window(n.coverage_of("30 days"), "30d", n.as_of).select("story_id", "last_pub")
 
 
 @register("plural_stories", query("select story_id, outlet_count from cov where outlet_count >= 3", "cov"))
@@ -217,7 +217,7 @@ def plural_stories(n):
 @register("indexable_pages", query("""select '/medios/' || slug as path, cast(null as timestamp) as modified from outlets where active union all
  select '/historia/' || cast(story_id as string), last_pub from cov cross join t where outlet_count >= 2 and last_pub >= t - interval 30 day""", "cov", "t"))
 def indexable_pages(n):
-    return ST.indexable(n.coverage, n.outlets, n.as_of)
+    return ST.indexable(n.coverage_of("30 days"), n.outlets, n.as_of)
 
 
 @register("stories_by_side", query("select distinct story_id from articles join lean using (outlet_id) join outlets using (outlet_id) where active and side = 'left'", "articles", "lean"))
@@ -258,7 +258,7 @@ def search_fulltext(n):
  where last_pub >= t - interval 30 day and (contains(lower(titulo_canonico), 'r') or contains(lower(resumen_canonico), 'r')) and story_id in (select story_id from articles join lean using (outlet_id) join outlets using (outlet_id) where active and side = 'left')
  order by importance desc, story_id limit 21) order by importance desc, story_id limit 20""", "cov", "t"))
 def list_stories(n):
-    listed = SR.list_stories(n.stories, n.plain_articles, n.outlets, n.as_of, term="r", side="left", window="30d", order="relevantes")
+    listed = SR.list_stories(n.stories_of("30 days"), n.plain_articles, n.outlets, n.as_of, term="r", side="left", window="30d", order="relevantes")
     return listed.select("story_id", "importance", "last_pub", "has_more")
 
 
@@ -287,7 +287,7 @@ def is_following(n):
 @register("catalog_stats", query("""select (select count(*) from outlets where active) as outlets, (select count(*) from cov cross join t where last_pub >= t - interval 24 hour and outlet_count >= 2) as stories_today,
  (select count(*) from articles cross join t where fecha_pub >= t - interval 24 hour) as articles_today, (select count(*) from cov) as stories_total""", "cov", "t", "outlets"))
 def catalog_stats(n):
-    return ST.catalog_stats(n.coverage, n.plain_articles, n.outlets, n.as_of)
+    return ST.catalog_stats(n.coverage, n.plain_articles, n.outlets, n.as_of, active=n.coverage_of("24 hours"))
 
 
 @register("row_counts", query("select (select count(*) from cov) as stories, (select count(*) from articles) as articles", "cov"))
@@ -302,14 +302,14 @@ EDITION = "story_id, outlet_count, article_count, importance, izq_pct, centro_pc
 
 @register("daily_edition", query(f"select {EDITION} from cov cross join t where last_pub >= t - interval 1 day and outlet_count >= 2 order by importance desc, story_id limit 10", "cov", "t"))
 def daily_edition(n):
-    return D.daily_edition(n.coverage, minus(n.as_of, "1 day"))
+    return D.daily_edition(n.coverage_of("1 day"), minus(n.as_of, "1 day"))
 
 
 @register("weekly_edition", query(f"""select 'top' as section, {EDITION} from top union all select 'sin_' || missing_side, {EDITION} from (select *, row_number() over (partition by missing_side order by importance desc, story_id) as rn from
  blind where story_id not in (select story_id from top)) where rn <= 3""",
  "blind", top="select * from cov cross join t where last_pub >= t - interval 365 day and outlet_count >= 3 order by importance desc, story_id limit 8"))
 def weekly_edition(n):
-    return D.weekly_edition(n.coverage, n.as_of, YEAR)
+    return D.weekly_edition(n.coverage_of(YEAR), n.as_of, YEAR)
 
 
 @register("daily_items", query("""select story_id, importance, titulo_canonico, resumen_canonico as resumen, 'https://news.example/historia/' || cast(story_id as string) as link, cover_url from
@@ -317,9 +317,9 @@ def weekly_edition(n):
  (select story_id, imagen_url as cover_url from (select a.story_id, imagen_url, row_number() over (partition by a.story_id order by case when titulo = titulo_canonico then 0 else 1 end,
  case when titulo = titulo_canonico then epoch_us(fecha_pub) else -epoch_us(fecha_pub) end, url) as rn from articles a join spans using (story_id) where imagen_url is not null) where rn = 1) using (story_id)""", "cov", "t"))
 def daily_items(n):
-    edition = D.daily_edition(n.coverage, minus(n.as_of, "1 day"))
+    edition = D.daily_edition(n.coverage_of("1 day"), minus(n.as_of, "1 day"))
     chosen = n.articles.join(edition.select("story_id"), "story_id", "left_semi")
-    items = D.edition_items(edition, n.stories, ST.cover_image(chosen, n.stories), "https://news.example")
+    items = D.edition_items(edition, n.stories_of("1 day"), ST.cover_image(chosen, n.stories_of("1 day")), "https://news.example")
     return items.select("story_id", "importance", "titulo_canonico", "resumen", "link", "cover_url")
 
 

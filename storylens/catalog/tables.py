@@ -7,11 +7,15 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.coverage import story_coverage
+from ..functions.dates import minus
+from ..operators.coverage import articles_of_active, story_coverage
 from ..plans.joins import spread
 from ..sources import fixtures
 
 
+TITLES = {"titulo_canonico": (F.min, "titulo"), "resumen_canonico": (F.max, "titulo")}
+
+
 class News:
     """The news tables of one data folder; every frame is lazy."""
 
@@ -52,8 +56,14 @@ class News:
 
     @cached_property
     def stories(self) -> DataFrame:
-        titles = {"titulo_canonico": (F.min, "titulo"), "resumen_canonico": (F.max, "titulo")}
-        return story_coverage(self.articles, self.outlets, titles)
+        return story_coverage(self.articles, self.outlets, TITLES)
+
+    def coverage_of(self, window: str) -> DataFrame:
+        """Coverage of the stories that were active in the window before ``as_of``."""
+        return story_coverage(articles_of_active(self.plain_articles, minus(self.as_of, window)), self.outlets)
+
+    def stories_of(self, window: str) -> DataFrame:
+        return story_coverage(articles_of_active(self.articles, minus(self.as_of, window)), self.outlets, TITLES)
 
     @property
     def as_of(self):

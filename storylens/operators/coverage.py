@@ -27,6 +27,17 @@ def outlet_counts(articles: DataFrame, extra: dict[str, tuple] = {}) -> DataFram
     )
 
 
+def articles_of_active(articles: DataFrame, since) -> DataFrame:
+    """All articles of the stories that have one dated ``since`` or later.
+
+    ``last_pub >= since`` holds for exactly these stories, so a question about a window counts
+    their articles only: the date reaches the scan that finds them, and the rest of the history
+    is dropped before it is aggregated.
+    """
+    recent = articles.filter(F.col("fecha_pub") >= since).filter("story_id is not null").select("story_id").distinct()
+    return lookup_join(articles, recent, "story_id", "left_semi")
+
+
 def story_coverage(articles: DataFrame, outlets: DataFrame, extra: dict[str, tuple] = {}) -> DataFrame:
     """One row per story: counts, dates, sides, importance and coverage shares.
 

@@ -147,14 +147,18 @@ def indexable(stories: DataFrame, outlets: DataFrame, as_of, n: int | None = Non
     return outlet_pages.unionByName(story_pages)
 
 
-def catalog_stats(stories: DataFrame, articles: DataFrame, outlets: DataFrame, as_of, approximate: bool = False) -> DataFrame:
+def catalog_stats(
+    stories: DataFrame, articles: DataFrame, outlets: DataFrame, as_of, approximate: bool = False,
+    active: DataFrame | None = None,
+) -> DataFrame:
     """Active outlets, plural stories and articles of the last day, and all stories.
 
-    Each number is one global aggregate; the four one-row results are scalar subqueries.
+    ``active`` may name the stories of the last day where they are cheaper to come by than in
+    ``stories``.  Each number is one global aggregate; the four one-row results are scalar subqueries.
     """
     since = minus(as_of, "24 hours")
     total = F.approx_count_distinct("story_id") if approximate else F.count(F.lit(1))
-    plural_today = stories.filter((F.col("last_pub") >= since) & (F.col("outlet_count") >= 2))
+    plural_today = (stories if active is None else active).filter((F.col("last_pub") >= since) & (F.col("outlet_count") >= 2))
     articles_today = articles.filter(F.col("fecha_pub") >= since)
     return outlets.filter("active").agg(F.count(F.lit(1)).alias("outlets")).select(
         "outlets",

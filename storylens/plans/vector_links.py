@@ -1,10 +1,10 @@
 """Exact links between similar vectors, enough to find connected components.
 
-Unit vectors with cosine ``t`` lie ``sqrt(2 - 2t)`` apart.  A bounded sample of pivots cuts
-space into cells (nearest pivot); a vector closer to a cell's border than that distance is
-also sent there, so every similar pair meets in some cell.  Cells are cut into blocks of
-bounded size and blocks are compared as matrix products.  A block returns a spanning forest
-of its similar pairs, not the pairs: its output is linear in its rows, whatever the density.
+Vectors are dealt into blocks of bounded size, and every two blocks are compared once as a matrix
+product: half of all pairs, whatever the threshold.  (Cells around pivots prune nothing at the low
+thresholds and many dimensions of text vectors; they only made copies.)  A pair of blocks
+returns a spanning forest of its similar pairs, not the pairs: its output is linear in its rows,
+whatever the density.
 """
 
 from __future__ import annotations
@@ -18,9 +18,6 @@ from ..functions.vectors import unit
 from .lineage import cut
 
 BLOCK_ROWS = 1000
-ROWS_PER_PIVOT = 500
-MAX_PIVOTS = 512
-EDGE_SLACK = 1e-6
 
 
 def spanning_links(vectors: DataFrame, threshold: float) -> DataFrame:
@@ -40,76 +37,30 @@ def spanning_links(vectors: DataFrame, threshold: float) -> DataFrame:
     distinct = cut(
         keyed.join(unique.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "u")
     )
-    count = distinct.count()
-    wanted = max(1, min(MAX_PIVOTS, count // ROWS_PER_PIVOT))
-    # At most MAX_PIVOTS vectors ever reach the driver, whatever the table size.
-    sample = distinct.orderBy(F.xxhash64("id"), "id").limit(wanted).select("u").collect()
-    if not sample:
-        return copies
-    placed = cut(_place(distinct, np.array([r[0] for r in sample]), threshold))
-    links = _compare_blocks(placed, threshold)
+    links = _compare_blocks(distinct, -(-distinct.count() // BLOCK_ROWS), threshold)
     return links.unionByName(copies).distinct()
 
 
-def _place(distinct: DataFrame, pivots: np.ndarray, threshold: float) -> DataFrame:
-    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + EDGE_SLACK
-    shared = distinct.sparkSession.sparkContext.broadcast(pivots)
-
-    def place(batches):
-        p = shared.value
-        between = np.sqrt(np.maximum(0, ((p[:, None, :] - p[None, :, :]) ** 2).sum(-1)))
-        np.fill_diagonal(between, np.inf)
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            x = np.stack(pdf["u"].to_numpy())
-            squared = np.maximum(0, (x**2).sum(1)[:, None] + (p**2).sum(1)[None, :] - 2 * x @ p.T)
-            home = squared.argmin(1)
-            own = squared[np.arange(len(x)), home]
-            gap = (squared - own[:, None]) / (2 * np.maximum(between[home], 1e-12))
-            near = gap <= reach
-            near[np.arange(len(x)), home] = True
-            row, cell = np.nonzero(near)
-            yield pd.DataFrame(
-                {
-                    "cell": cell.astype("int32"),
-                    "home": home[row].astype("int32"),
-                    "id": pdf["id"].to_numpy()[row],
-                    "u": pdf["u"].to_numpy()[row],
-                }
-            )
-
-    return distinct.mapInPandas(place, "cell int, home int, id string, u array<double>")
-
-
-def _compare_blocks(placed: DataFrame, threshold: float) -> DataFrame:
-    chunks = placed.groupBy("cell").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int").alias("chunks")
+def _compare_blocks(distinct: DataFrame, blocks: int, threshold: float) -> DataFrame:
+    block = F.pmod(F.xxhash64("id"), F.lit(max(1, blocks))).cast("int")
+    dealt = distinct.withColumn("block", block).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.lit(max(1, blocks) - 1)))
     )
-    spread = (
-        placed.join(chunks, "cell")
-        .withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select(
-            "cell", F.least("chunk", "other").alias("p"), F.greatest("chunk", "other").alias("q"),
-            "chunk", "home", "id", "u",
-        )
+    met = dealt.select(
+        F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "u"
     )
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         p, q = pdf["p"].iloc[0], pdf["q"].iloc[0]
-        cell = pdf["cell"].iloc[0]
-        left, right = pdf[pdf["chunk"] == p], pdf[pdf["chunk"] == q]
+        left, right = pdf[pdf["block"] == p], pdf[pdf["block"] == q]
         if left.empty or right.empty:
             return pd.DataFrame({"a": [], "b": []}, dtype="object")
         close = np.stack(left["u"].to_numpy()) @ np.stack(right["u"].to_numpy()).T >= threshold
-        # Two visitors of a cell meet in a home cell of theirs as well.
-        close &= (left["home"].to_numpy() == cell)[:, None] | (right["home"].to_numpy() == cell)[None, :]
         if p == q:
-            close &= ~np.eye(len(left), dtype=bool)
+            np.fill_diagonal(close, False)
         return _forest(close, left["id"].to_numpy(), right["id"].to_numpy(), p == q)
 
-    return spread.groupBy("cell", "p", "q").applyInPandas(compare, "a string, b string")
+    return met.groupBy("p", "q").applyInPandas(compare, "a string, b string")
 
 
 def _forest(close: np.ndarray, rows: np.ndarray, cols: np.ndarray, same: bool) -> pd.DataFrame:

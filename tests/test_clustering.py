@@ -203,10 +203,9 @@ def test_spanning_links_give_exact_components(spark, points):
         assert got == expected
 
 
-def test_spanning_links_with_many_cells(spark, points, monkeypatch):
+def test_spanning_links_with_many_blocks(spark, points, monkeypatch):
     from storylens.plans import vector_links
 
-    monkeypatch.setattr(vector_links, "ROWS_PER_PIVOT", 15)
     monkeypatch.setattr(vector_links, "BLOCK_ROWS", 20)
     test_spanning_links_give_exact_components(spark, points)
 
