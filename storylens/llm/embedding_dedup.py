@@ -1,13 +1,9 @@
-"""Near-duplicate vectors by sorted projection passes.
+"""Near-duplicate vectors by comparing all pairs of a label.
 
-In each pass every vector gets a key: the signs of its projections on random directions, concatenated.  Vectors
-are ordered by label and key over the whole table, each is compared with its next ``NEIGHBOURS`` in that order
-by exact cosine, and pairs that reach the threshold are united.  Passes use other directions.
-
-The window bounds the candidates of a pass, so it may end inside a dense group.  What the passes united is
-therefore compared once more, exactly: members of a component meet in blocks of bounded size, which
-give the number of links of each vector.  Blocks return sums, passes return spanning forests; no step
-returns the pairs of a group.
+The distinct vectors of a label are dealt into chunks by hash, and every two chunks meet once as a matrix product, so
+no link is lost whatever the size or the density of a label.  Two chunks return the number of links of each vector
+and a spanning forest of their links, never the pairs of a group.  The work is half of all pairs of each label, so
+it grows with the square of the largest ones.
 
 Vectors link only within equal non-null labels and equal lengths.  Vectors that are null, zero, or hold null or
 non-finite components link with nothing.  Equal vectors of a label are compared once and link to each other; a
@@ -21,22 +17,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from ..plans.components import connected_components
 from .common import hot_join, spread, store
 
 THRESHOLD = 0.93
-PASSES = 8
-BITS = 48
-NEIGHBOURS = 32
-BLOCK = 2048  # vectors of a block of neighbours
-CHUNK = 512  # members of a component that meet as many others at once
-SEED = 11
-
-
-def _vectors(column) -> list[np.ndarray]:
-    return [np.asarray(v, dtype=np.float64) for v in column.to_pylist()]
+CHUNKS = 8  # of a label above SMALL vectors; more only where a chunk would exceed CHUNK_VALUES
+SMALL = 256
+CHUNK_VALUES = 1 << 22  # numbers in the vectors of a chunk
+TILE = 1024, 2048  # rows and columns of a matrix product
 
 
 def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -62,153 +51,116 @@ def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, store(distinct, "vector-classes")
 
 
-def _sort_key(vectors: DataFrame, turn: int, bits: int) -> DataFrame:
-    """``vectors`` with the key of a pass: signs on ``bits`` random directions."""
-
-    def run(batches):
-        directions: dict[int, np.ndarray] = {}
-        for batch in batches:
-            keys = np.zeros(batch.num_rows, dtype=np.int64)
-            rows = _vectors(batch.column("embedding"))
-            lengths = np.array([len(v) for v in rows])
-            for d in np.unique(lengths):
-                if d not in directions:
-                    directions[d] = np.random.default_rng([SEED, turn, int(d)]).normal(size=(int(d), bits))
-                at = np.flatnonzero(lengths == d)
-                signs = np.stack([rows[i] for i in at]) @ directions[d] > 0
-                keys[at] = signs @ (1 << np.arange(bits, dtype=np.int64)[::-1])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys)], names=[*batch.schema.names, "key"])
-
-    return vectors.mapInArrow(run, StructType([*vectors.schema.fields, StructField("key", LongType())]))
-
-
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Positions of pairs that form a spanning forest."""
-    root = list(range(n))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    kept = []
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
-        x, y = find(x), find(y)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            kept.append(i)
-    return np.array(kept, dtype=np.int64)
-
-
-def _unit(rows: list[np.ndarray]) -> np.ndarray:
-    x = np.stack(rows)
+def _unit(column) -> np.ndarray:
+    """Unit vectors of a column whose vectors have one length."""
+    flat = pa.concat_arrays([chunk.flatten() for chunk in column.chunks]).to_numpy(zero_copy_only=False)
+    x = flat.astype(np.float64).reshape(len(column), -1)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def neighbour_links(distinct: DataFrame, turn: int, threshold: float, bits: int = BITS, window: int = NEIGHBOURS) -> DataFrame:
-    """Links (a, b) of one pass."""
-    spark = distinct.sparkSession
-    keyed = _sort_key(distinct.select("cid", "label", "dim", "embedding"), turn, bits)
-    order = ["label", "dim", "key", "cid"]
-    place = F.monotonically_increasing_id()
-    ordered = store(
-        keyed.repartitionByRange(*order).sortWithinPartitions(*order).select(
-            "*", F.shiftright(place, 33).alias("part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("at")
-        ),
-        f"vector-order-{turn}",
-    )
-    # One small row per partition gives the place of each vector in the whole order.
-    counts = dict(ordered.groupBy("part").count().collect())
-    before, total = [], 0
-    for part in sorted(counts):
-        before.append((part, total))
-        total += counts[part]
-    offsets = spark.createDataFrame(before, "part long, before long")
-    ranked = ordered.join(F.broadcast(offsets), "part").withColumn("rank", F.col("at") + F.col("before"))
-    block = F.floor(F.col("rank") / BLOCK)
-    # The first vectors of a block also close the windows of the block before.
-    ends = F.when((F.col("rank") % BLOCK < window) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
-
-    def compare(table: pa.Table) -> pa.Table:
-        table = table.sort_by("rank")
-        cid, label = table.column("cid").to_numpy(), table.column("label").to_numpy()
-        dim = table.column("dim").to_numpy()
-        rows = _vectors(table.column("embedding"))
-        first, second = [np.zeros(0, int)], [np.zeros(0, int)]
-        for d in np.unique(dim):
-            of = np.flatnonzero(dim == d)
-            x = _unit([rows[i] for i in of])
-            for step in range(1, min(window, len(of) - 1) + 1):
-                close = (x[:-step] * x[step:]).sum(1) >= threshold
-                close &= label[of[:-step]] == label[of[step:]]
-                hit = np.flatnonzero(close)
-                first.append(of[hit])
-                second.append(of[hit + step])
-        a, b = np.concatenate(first), np.concatenate(second)
-        keep = _forest(a, b, len(cid))
-        return pa.table({"a": pa.array(cid[a[keep]], pa.int64()), "b": pa.array(cid[b[keep]], pa.int64())})
-
-    blocks = ranked.select("cid", "label", "dim", "embedding", "rank", F.explode(ends).alias("block"))
-    return blocks.groupBy("block").applyInArrow(compare, "a long, b long")
-
-
-def exact_links(members: DataFrame, threshold: float) -> DataFrame:
-    """(cid, links): the weight of all other vectors of the component that reach the threshold.
-
-    ``members``: component, cid, embedding, weight, and chunks, the number that the component is cut into.
-    """
-    spread_out = (
-        members
+def _close(x: np.ndarray, y: np.ndarray, x32: np.ndarray, y32: np.ndarray, threshold: float) -> np.ndarray:
+    """Which cosines reach the threshold: in single precision, and in double precision where that may be wrong."""
+    products = x32 @ y32.T
+    margin = 1.2e-7 * (x.shape[1] + 4)  # twice the bound on the rounding error
+    close = products >= threshold - margin
+    if close.any():
+        a, b = np.nonzero(close & (products < threshold + margin))
+        close[a, b] = (x[a] * y[b]).sum(1) >= threshold
+    return close
+
+
+class _Forest:
+    """Spanning forest of links that come as matrices."""
+
+    def __init__(self, n: int):
+        self.root, self.links = np.arange(n), []
+
+    def add(self, close: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> None:
+        while True:
+            # Every tree with a link to another one takes one in each round.
+            fresh = close & (self.root[rows][:, None] != self.root[columns][None, :])
+            of_row, of_column = np.flatnonzero(fresh.any(1)), np.flatnonzero(fresh.any(0))
+            if not len(of_row):
+                return
+            a = np.concatenate((rows[of_row], rows[fresh[:, of_column].argmax(0)]))
+            b = np.concatenate((columns[fresh[of_row].argmax(1)], columns[of_column]))
+            for i, j in zip(a.tolist(), b.tolist()):
+                x, y = self._find(i), self._find(j)
+                if x != y:
+                    self.root[max(x, y)] = min(x, y)
+                    self.links.append((i, j))
+            while (self.root[self.root] != self.root).any():
+                self.root = self.root[self.root]
+
+    def _find(self, i: int) -> int:
+        while self.root[i] != i:
+            self.root[i] = self.root[self.root[i]]
+            i = self.root[i]
+        return i
+
+
+def all_links(distinct: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, links): links of spanning forests, and with a null ``b`` parts of the number of links of ``a``."""
+    count = F.count(F.lit(1))
+    chunks = F.when(count <= SMALL, 1).otherwise(F.greatest(F.lit(CHUNKS), F.ceil(count * F.col("dim") / CHUNK_VALUES)))
+    sizes = store(distinct.groupBy("label", "dim").agg(chunks.cast("int").alias("chunks")), "vector-labels")
+    met = (
+        hot_join(distinct.select("label", "dim", "cid", "weight", "embedding"), sizes, "label", "dim")
         .withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .withColumn("p", F.least("chunk", "other")).withColumn("q", F.greatest("chunk", "other"))
-    )
+        .select("label", "dim", F.least("chunk", "other").alias("p"), F.greatest("chunk", "other").alias("q"),
+                "chunk", "cid", "weight", "embedding")
+    )
 
     def compare(table: pa.Table) -> pa.Table:
-        table = table.sort_by("cid")
         cid, weight = table.column("cid").to_numpy(), table.column("weight").to_numpy()
         chunk, p, q = table.column("chunk").to_numpy(), table.column("p")[0].as_py(), table.column("q")[0].as_py()
-        x = _unit(_vectors(table.column("embedding")))
-        links = np.zeros(len(cid), dtype=np.int64)
-        if p == q:
-            close = x @ x.T >= threshold
-            np.fill_diagonal(close, False)
-            links = close @ weight
-        else:
-            left, right = np.flatnonzero(chunk == p), np.flatnonzero(chunk == q)
-            close = x[left] @ x[right].T >= threshold
-            links[left], links[right] = close @ weight[right], close.T @ weight[left]
-        return pa.table({"cid": pa.array(cid, pa.int64()), "links": pa.array(links, pa.int64())})
-
-    columns = ["component", "p", "q", "chunk", "cid", "weight", "embedding"]
-    sums = spread_out.select(*columns).groupBy("component", "p", "q").applyInArrow(compare, "cid long, links long")
-    return sums.groupBy("cid").agg(F.sum("links").alias("links"))
-
-
-def near_duplicates(
-    vectors: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, window: int = NEIGHBOURS
-) -> DataFrame:
+        x = _unit(table.column("embedding"))
+        x32 = x.astype(np.float32)
+        links, forest = np.zeros(len(cid), dtype=np.int64), _Forest(len(cid))
+        left, right = np.flatnonzero(chunk == p), np.flatnonzero(chunk == q)
+        for lo in range(0, len(left), TILE[0]):
+            rows = left[lo : lo + TILE[0]]
+            for at in range(0, len(right), TILE[1]):
+                columns = right[at : at + TILE[1]]
+                if p == q and columns[-1] <= rows[0]:
+                    continue
+                close = _close(x[rows], x[columns], x32[rows], x32[columns], threshold)
+                if p == q:  # each pair once
+                    close &= rows[:, None] < columns[None, :]
+                if not close.any():
+                    continue
+                a, b = np.nonzero(close)
+                links[rows] += np.bincount(a, weights=weight[columns[b]], minlength=len(rows)).astype(np.int64)
+                links[columns] += np.bincount(b, weights=weight[rows[a]], minlength=len(columns)).astype(np.int64)
+                forest.add(close, rows, columns)
+        some = np.flatnonzero(links)
+        pairs = np.array(forest.links, dtype=np.int64).reshape(-1, 2)
+        return pa.table({
+            "a": pa.array(np.concatenate((cid[some], cid[pairs[:, 0]])), pa.int64()),
+            "b": pa.array([None] * len(some) + cid[pairs[:, 1]].tolist(), pa.int64()),
+            "links": pa.array(np.concatenate((links[some], np.zeros(len(pairs), np.int64))), pa.int64()),
+        })
+
+    return met.groupBy("label", "dim", "p", "q").applyInArrow(compare, "a long, b long, links long")
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Rows of ``vec_id`` with ``n_links``, ``component_id`` and ``kept``."""
     rows, distinct = classes(vectors)
-    edges = None
-    for turn in range(passes):
-        found = neighbour_links(distinct, turn, threshold, window=window)
-        edges = found if edges is None else edges.unionByName(found)
+    links = store(all_links(distinct, threshold), "vector-links")
     found = store(
-        connected_components(store(edges.distinct(), "vector-links")).select(F.col("id").alias("cid"), "component"),
+        connected_components(links.filter("b is not null")).select(F.col("id").alias("cid"), "component"),
         "vector-components",
     )
-    # A component may hold most vectors: it is sized and named before the vectors, one per ``cid``, are joined.
+    # A component may hold most vectors: it is named before its members are told.
     lows = found.join(distinct.select("cid", "low"), "cid")
-    named = lows.groupBy("component").agg(
-        F.min("low").alias("component_id"), F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")
-    )
-    sized = store(hot_join(found, store(named, "vector-groups"), "component"), "vector-sized")
-    members = sized.join(distinct, "cid").select("component", "chunks", "cid", "embedding", "weight")
+    named = lows.groupBy("component").agg(F.min("low").alias("component_id"))
+    sized = hot_join(found, store(named, "vector-groups"), "component")
+    degrees = links.filter("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
     of_class = (
         distinct.select("cid", "k1", "k2", "low", "weight")
-        .join(sized.select("cid", "component_id"), "cid", "left").join(exact_links(members, threshold), "cid", "left")
+        .join(sized.select("cid", "component_id"), "cid", "left").join(degrees, "cid", "left")
         .select(
             "k1", "k2", F.coalesce("component_id", "low").alias("component_id"),
             (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),

@@ -203,6 +203,26 @@ def test_embeddings_against_all_pairs(spark):
     assert embedding_dedup.op6(df.limit(0)).collect() == []
 
 
+def test_embeddings_of_a_large_label(spark):
+    """One label with a common direction and planted pairs: no pair is lost, also over several tiles and chunks."""
+    rng = np.random.default_rng(8)
+    n = 12_000
+    own = rng.normal(size=(n, 64))
+    own /= np.sqrt((own * own).sum(1, keepdims=True))
+    own[n // 2 :] = 0.93 * own[: n // 2] + 0.35 * own[n // 2 :]
+    x = (own + 1.2 * np.eye(64)[0]).astype(np.float32)
+    u = x.astype(np.float64) / np.sqrt((x.astype(np.float64) ** 2).sum(1, keepdims=True))
+    a, b = np.nonzero(np.triu(u @ u.T >= 0.93, 1))
+    assert len(a) > n // 4
+    roots = joined(n, zip(a.tolist(), b.tolist()))
+    degree = np.bincount(np.concatenate((a, b)), minlength=n)
+    import pandas as pd
+
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(n), "embedding": list(x), "label": 1}), "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()}
+    assert got == {i: (int(degree[i]), roots[i]) for i in range(n)}
+
+
 def test_chats_against_sql(spark):
     con = connect(FOLDER)
     assert compare(QUERIES["op8_chat_format"](spark, FOLDER), con, ORACLES["op8_chat_format"]) is None
