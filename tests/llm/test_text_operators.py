@@ -108,6 +108,16 @@ def test_lm_gradient_lowers_the_loss():
     assert lm_score.log_probs(lm_score.views(net), around, ids).mean() > before + 2
 
 
+def test_lm_trains_every_position(spark):
+    prepare(spark)
+    rows = [([i, i + 1], turn) for i in range(0, 40, 2) for turn in (0, 1) for _ in range(60)]
+    net = lm_score.views(lm_score.fit(spark.createDataFrame(rows, "ids array<smallint>, turn int").coalesce(1)))
+    ids = np.arange(40)
+    around = lm_score.contexts(ids, np.full(20, 2))
+    gain = lm_score.log_probs(net, around, ids) - lm_score.log_probs(lm_score.views(lm_score.new_network()), around, ids)
+    assert gain.min() > 0
+
+
 def test_lm_scores(documents, empty):
     rows = lm_score.op2(documents).collect()
     assert len(rows) == documents.count()
