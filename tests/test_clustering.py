@@ -178,6 +178,16 @@ def test_regroup_components_equal_one_pass(spark, points):
     assert split == {(a, g) for a, g, _ in run(whole).itertuples(index=False)}
 
 
+@pytest.mark.parametrize("slice_rows", [7, 1000])
+@pytest.mark.parametrize("thresholds", [(0.9, 0.8, 0.8, 0.75, 0.5), (0.9, 0.5, 0.5, 0.45, 0.97)])
+def test_regroup_does_not_depend_on_slices(spark, points, slice_rows, thresholds):
+    unnamed = F.when(F.col("article_id") % 5 == 0, F.lit("sin nombres")).otherwise(F.col("titulo"))
+    items = spark.createDataFrame(points, SCHEMA).withColumn("titulo", unnamed)
+    want = sorted(map(tuple, CL.regroup(items, *thresholds).collect()))
+    assert sorted(map(tuple, CL.regroup(items, *thresholds, slice_rows=slice_rows).collect())) == want
+    assert len({g for _, g, _ in want}) < len(want)
+
+
 def test_assign_by_vector_uses_pool_seed(spark):
     article = [(1, 1, "x", "", T0, [1.0, 0.0]), (2, 2, "y", "", T0 + dt.timedelta(hours=1), [0.99, 0.1])]
     articles = spark.createDataFrame(article, "article_id long, outlet_id long, titulo string, resumen string, fecha_pub timestamp, embedding array<double>")
