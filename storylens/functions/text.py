@@ -245,8 +245,9 @@ def _excerpt(t: Column, limit: int) -> Column:
 
 
 def item_summary(content_snippet, summary, content) -> Column:
+    """The whole cleaned summary of an item; sinks may store a snippet of it."""
     raw = F.coalesce(_col(content_snippet), _col(summary), _col(content), F.lit(""))
-    return snippet(decode_entities(F.regexp_replace(raw, "<[^>]+>", " ")), V.SNIPPET_STORE_CHARS)
+    return squash(decode_entities(F.regexp_replace(raw, "<[^>]+>", " ")))
 
 
 def item_image(enclosure_url, media_url) -> Column:

@@ -90,6 +90,21 @@ def test_write_articles_partitions_by_day(spark, tmp_path):
     assert back.count() == 3 and "pub_date" in back.columns
 
 
+def test_feeds_return_whole_summaries(spark, tmp_path):
+    """What stands after character 300 reaches the rules; only the sink shortens, if asked to."""
+    text = "palabra " * 60 + "fin"
+    xml = f"<rss><channel><item><title>T</title><link>https://x/1</link><description>{text}</description></item></channel></rss>"
+    post = json.dumps([{"link": "https://x/2", "title": {"rendered": "T"}, "excerpt": {"rendered": text}}])
+    payloads = spark.createDataFrame([("f", xml, post)], "feed string, xml string, json string")
+    items = feeds.parse_feed_xml(payloads, payload="xml").unionByName(feeds.parse_feed_json(payloads, payload="json"))
+    assert {r.summary for r in items.collect()} == {text}
+    rows = items.withColumnRenamed("summary", "resumen")
+    sinks.write_articles(rows, str(tmp_path / "whole"))
+    sinks.write_articles(rows, str(tmp_path / "short"), chars=300)
+    assert {r.resumen for r in spark.read.parquet(str(tmp_path / "whole")).collect()} == {text}
+    assert all(len(r.resumen) <= 301 and r.resumen.endswith("…") for r in spark.read.parquet(str(tmp_path / "short")).collect())
+
+
 @pytest.fixture
 def landed(spark, tmp_path):
     rows = [
