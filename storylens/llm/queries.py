@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    chat, decontam, embedding_dedup, langid, lm_score, packing, secret_scan, simhash, token_counts, toxicity,
+    chat, decontam, embedding_dedup, langid, lm_score, packing, secret_scan, simhash,
+    token_alignment, token_counts, toxicity,
 )
 from .common import prepare, table
 
@@ -35,3 +36,4 @@ _register("op7_simhash", simhash.op7, "documents")
 _register("op8_chat_format", chat.op8, "conversations", sql=chat.OP8_SQL)
 _register("op9_decontamination", decontam.op9, "documents", "benchmark")
 _register("op10_toxicity", toxicity.op10, "documents", "labels")
+_register("op11_token_alignment", token_alignment.op11, "documents")
