@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    chat, decontam, embedding_dedup, langid, lm_score, packing, secret_scan, simhash,
-    token_alignment, token_counts, toxicity,
+    chat, conversation_trie, decontam, embedding_dedup, langid, lm_score, packing, secret_scan, simhash,
+    token_alignment, token_counts, toxicity, url_rules,
 )
 from .common import prepare, table
 
@@ -37,3 +37,5 @@ _register("op8_chat_format", chat.op8, "conversations", sql=chat.OP8_SQL)
 _register("op9_decontamination", decontam.op9, "documents", "benchmark")
 _register("op10_toxicity", toxicity.op10, "documents", "labels")
 _register("op11_token_alignment", token_alignment.op11, "documents")
+_register("op12_url_rules", url_rules.op12, "pages", sql=url_rules.OP12_SQL)
+_register("op13_conversation_trie", conversation_trie.op13, "conversations", sql=conversation_trie.OP13_SQL)
