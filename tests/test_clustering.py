@@ -83,15 +83,43 @@ def sequential_lexical(rows):
     return out
 
 
-@pytest.mark.parametrize("slice_rows", [1000, 7])
-def test_assign_lexical_equals_sequential(spark, news, slice_rows):
+@pytest.mark.parametrize("slice_rows, task_links", [(1000, 1000), (29, 10_000), (80, 0)])
+def test_assign_lexical_equals_sequential(spark, news, slice_rows, task_links, monkeypatch):
+    monkeypatch.setattr(CL, "TASK_LINKS", task_links)
     articles = spark.createDataFrame(news, "article_id long, outlet_id long, titulo string, resumen string, fecha_pub timestamp")
-    got = {int(r.article_id): int(r.story_id) for r in CL.assign_stories(articles, slice_rows=slice_rows).collect()}
+    report = []
+    found = CL.assign_stories(articles, slice_rows=slice_rows, report=report).collect()
+    got = {int(r.article_id): int(r.story_id) for r in found}
+    assert sum(r["articles"] for r in report) == len(news) and len(report) == -(-len(news) // slice_rows)
     expected = sequential_lexical(news)
     assert got == expected
     assert 5 < len(set(expected.values())) < len(news)
 
 
+def test_expired_stories_are_not_compared(spark):
+    """At a constant rate per day a slice meets the stories of three days, however long the history is."""
+    words = [f"{a}{b}" for a in ("alfa", "beta", "gama", "delta") for b in ("mares", "lagos", "rios", "montes")]
+    rows = [(i, i, f"{words[i % 16]} {words[(i * 7 + 3) % 16]}{i}", "", T0 + dt.timedelta(hours=12 * i)) for i in range(60)]
+    articles = spark.createDataFrame(rows, "article_id long, outlet_id long, titulo string, resumen string, fecha_pub timestamp")
+    report = []
+    CL.assign_stories(articles, slice_rows=12, report=report)
+    assert len(report) == 5 and max(r["open_stories"] for r in report) <= 6
+    assert max(r["compared"] for r in report) <= 12 * 11 // 2 + 12 * 6
+
+
+def test_block_overlaps_equal_sets(monkeypatch):
+    from storylens.plans import block_scores as B
+
+    rng = random.Random(1)
+    sides = [[sorted({rng.choice([rng.randint(0, 9), rng.randint(0, 400)]) for _ in range(rng.randint(0, 30))}) for _ in range(n)] for n in (9, 14)]
+    want = [[len(set(a) & set(b)) for b in sides[1]] for a in sides[0]]
+    flat = [(np.repeat(np.arange(len(s)), [len(v) for v in s]), np.array([x for v in s for x in v])) for s in sides]
+    for dense, expanded in ((1024, 1 << 22), (3, 7), (0, 1)):
+        monkeypatch.setattr(B, "DENSE", dense)
+        monkeypatch.setattr(B, "EXPANDED", expanded)
+        assert B.overlaps(*flat, 9, 14).tolist() == want
+
+
 @pytest.fixture(scope="module")
 def points():
     r = np.random.default_rng(3)
