@@ -147,34 +147,50 @@ def log_probs(net: dict, around: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """Softmax in place."""
+    x -= x.max(-1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(-1, keepdims=True)
+    return x
+
+
 def train(flat_net: np.ndarray, squares: np.ndarray, around: np.ndarray, ids: np.ndarray) -> None:
     """One pass of steps with per-parameter rates over targets, in the order given."""
     net = views(flat_net)
     gradient = np.zeros_like(flat_net)
     grad = views(gradient)
     for lo in range(0, len(ids), BATCH):
-        near, target = around[lo : lo + BATCH], ids[lo : lo + BATCH]
+        # The targets of a step in order of class: a class is a range of rows, sums are sums of ranges.
+        order = np.argsort(ids[lo : lo + BATCH] % CLASSES, kind="stable")
+        near, target = around[lo : lo + BATCH][order], ids[lo : lo + BATCH][order]
         rows = np.arange(len(target))
         kind, place = target % CLASSES, target // CLASSES
+        bounds = np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
+        ranges = [(k, slice(i, j)) for k, (i, j) in enumerate(zip(bounds, bounds[1:])) if j > i]
         x = net["E"][near].reshape(len(target), -1)
         h = np.tanh(x @ net["W"] + net["b"])
-        d_class = np.exp(_log_softmax(h @ net["C"] + net["c"]))
+        d_class = _softmax(h @ net["C"] + net["c"])
         d_class[rows, kind] -= 1
-        inner = np.exp(_log_softmax((h[:, None, :] @ net["T"][kind])[:, 0] + net["t"][kind]))
+        inner = net["t"][kind]
+        for k, of in ranges:
+            inner[of] += h[of] @ net["T"][k]
+        _softmax(inner)
         inner[rows, place] -= 1
         gradient[:] = 0
         grad["C"][...], grad["c"][...] = h.T @ d_class, d_class.sum(0)
-        d_h = d_class @ net["C"].T + (inner[:, None, :] @ np.swapaxes(net["T"][kind], 1, 2))[:, 0]
-        np.add.at(grad["t"], kind, inner)
-        order = np.argsort(kind, kind="stable")
-        bounds = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            of = order[bounds[k] : bounds[k + 1]]
-            if len(of):
-                grad["T"][k] = h[of].T @ inner[of]
+        d_h = d_class @ net["C"].T
+        for k, of in ranges:
+            d_h[of] += inner[of] @ net["T"][k].T
+            grad["T"][k] = h[of].T @ inner[of]
+        grad["t"][[k for k, _ in ranges]] = np.add.reduceat(inner, [of.start for _, of in ranges])
         d_h *= 1 - h * h
         grad["W"][...], grad["b"][...] = x.T @ d_h, d_h.sum(0)
-        np.add.at(grad["E"], near.ravel(), (d_h @ net["W"].T).reshape(-1, DIM))
+        d_x = (d_h @ net["W"].T).reshape(-1, DIM)
+        near = near.ravel()
+        by_id = np.argsort(near, kind="stable")
+        first = np.flatnonzero(np.diff(near[by_id], prepend=-1))
+        grad["E"][near[by_id][first]] = np.add.reduceat(d_x[by_id], first)
         gradient /= len(target)
         squares += gradient * gradient
         flat_net -= RATE * gradient / np.sqrt(squares + 1e-8)
