@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
-from .common import map_texts, spread, store
+from .common import hot_join, map_texts, spread, store
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -209,12 +209,16 @@ def components(fingerprinted: DataFrame) -> DataFrame:
     rows = store(fingerprinted.select("doc_id", "fp"), "simhash-rows")
     distinct = store(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
     found = connected_components(store(links(distinct.select("fp")), "simhash-links"))
-    placed = distinct.join(found.withColumnRenamed("id", "fp"), "fp", "left").select(
-        "fp", "low", F.coalesce("component", "fp").alias("component")
+    placed = store(
+        distinct.join(found.withColumnRenamed("id", "fp"), "fp", "left").select(
+            "fp", "low", F.coalesce("component", "fp").alias("component")
+        ),
+        "simhash-placed",
     )
-    lowest = placed.groupBy("component").agg(F.min("low").alias("component_id"))
-    of_fp = placed.join(lowest, "component").select("fp", "component_id", F.col("component").alias("group"))
-    return rows.join(of_fp, "fp")
+    # A component may hold most fingerprints, and a fingerprint most documents.
+    lowest = store(placed.groupBy("component").agg(F.min("low").alias("component_id")), "simhash-lowest")
+    of_fp = hot_join(placed, lowest, "component").select("fp", "component_id", F.col("component").alias("group"))
+    return hot_join(rows, store(of_fp, "simhash-named"), "fp")
 
 
 def op7(documents: DataFrame) -> DataFrame:
