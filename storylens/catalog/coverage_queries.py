@@ -110,10 +110,9 @@ def coverage_by_day(n):
  from events, (select unnest(range(48)) as h) group by 1, 2""")
 def sliding_coverage(n):
     from ..sources import fixtures
-    from ..streaming.articles import coverage_window
+    from ..streaming.articles import sliding_totals
 
-    w = coverage_window(fixtures.event_stream(n.spark, n.folder), "ts", ["event_type"], "48 hours", "1 hour")
-    return w.select(F.col("window.start").alias("start"), "event_type", "n")
+    return sliding_totals(fixtures.event_stream(n.spark, n.folder), "ts", ["event_type"], {"n": F.count(F.lit(1))})
 
 
 @register("story_sessions", query("""select story_id, cast(s as bigint) as session, count(*) as n, min(fecha_pub) as first_at, max(fecha_pub) as last_at from

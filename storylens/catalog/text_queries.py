@@ -278,6 +278,20 @@ def trending_scores(n):
     return TR.trending_scores(n.texts, "doc_id", "titulo").select("term", "words", "tf", "df", F.round("score", 6).alias("score"))
 
 
+@register("sliding_trending", query("""select cast(date_trunc('hour', fecha_pub) - to_hours(cast(h as int)) as timestamp) as start, term, words, cast(sum(k) as bigint) as tf, count(*) as df from
+ (select doc_id, term, words, count(*) as k from terms group by 1, 2, 3) join text_articles using (doc_id), (select unnest(range(48)) as h) group by 1, 2, 3 having sum(k) >= 2 and count(*) >= 2""", "text_articles", w=WORDS, terms=TERMS))
+def sliding_trending(n):
+    return TR.sliding_tf_df(n.texts, "fecha_pub", "doc_id", "titulo")
+
+
+@register("dedupe_applied")
+def dedupe_applied(n):
+    """The plan of a deduplication carried out: articles of merged stories move, their targets are recomputed."""
+    articles = n.texts.withColumn("story_id", F.col("doc_id"))
+    _, targets = M.merge_stories(articles, n.outlets, SIM.dedupe_plan(_text_stories(n)))
+    return targets.select("story_id", "article_count", "outlet_count", "importance")
+
+
 @register("trending_pick")
 def trending_pick(n):
     return TR.trending_pick(TR.trending_scores(n.texts, "doc_id", "titulo"))
@@ -302,9 +316,10 @@ def cosine_topk(n):
     return VO.central_articles(n.vectors, "label", "vec_id", 3).select("vec_id", "label", "rank", "cosine")
 
 
-@register("average_linkage", query("""select a.label as a, b.label as b, round(avg(list_dot_product(a.u, b.u)), 6) as linkage from unit a join unit b on a.label < b.label and a.label // 2 = b.label // 2 group by 1, 2""", unit=UNIT))
+@register("average_linkage", query("""select a.label as a, b.label as b, round(avg(list_dot_product(a.u, b.u)), 6) as linkage from unit a join unit b on a.label < b.label group by 1, 2""", unit=UNIT))
 def average_linkage(n):
-    groups = n.vectors.select(F.concat(F.lit("Caso Protagonista"), F.floor(F.col("label") / 2).cast("string")).alias("titulo"), "label")
+    # One protagonist for all: every two labels are a pair.
+    groups = n.vectors.select(F.lit("Caso Protagonista").alias("titulo"), "label")
     pairs = VO.protagonist_strength(VO.entity_counts(groups, "label"), "label")
     linked = VO.average_linkage(n.vectors, "label", pairs.select("a", "b"))
     return linked.select("a", "b", F.round("linkage", 6).alias("linkage"))
@@ -370,4 +385,4 @@ def canonical(n):
 
 @register("embed_articles")
 def embed(n):
-    return embed_articles(_articles(n), hashing_model).select("article_id", F.size("embedding").alias("size"))
+    return embed_articles(_articles(n), hashing_model).select("article_id", "embedding")

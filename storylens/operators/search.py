@@ -9,7 +9,7 @@ from ..functions import fixed_values as V
 from ..functions import spectrum as S
 from ..functions.dates import epoch_micros, as_column, hours_between, window_since
 from ..functions.stems import stem, words_of
-from ..plans.ranking import rank_in_group
+from ..plans.global_rank import global_rank
 
 
 def story_window(stories: DataFrame, window: str, as_of) -> DataFrame:
@@ -149,14 +149,11 @@ def _hybrid_order() -> list[Column]:
 def hybrid_rank(stories: DataFrame, as_of) -> DataFrame:
     """All stories with ``score`` and their ``position`` by it.
 
-    Scores in hundredths are slots that are counted; rows are numbered inside their slot, so
-    no task sorts all stories.
+    Tasks take ranges of the whole ordering key: of stories older than the window, which differ in importance
+    alone, any number may share a score.
     """
-    scored = hybrid_score(stories, as_of).withColumn("_all", F.lit(0))
-    slot = (-F.floor(F.col("score") * 100)).cast("int")
-    return rank_in_group(scored, ["_all"], [slot], _hybrid_order(), "position").drop("_all").withColumn(
-        "position", F.col("position").cast("int")
-    )
+    ranked = global_rank(hybrid_score(stories, as_of), _hybrid_order(), "position")
+    return ranked.withColumn("position", F.col("position").cast("int"))
 
 
 def featured(scored: DataFrame, as_of) -> DataFrame:

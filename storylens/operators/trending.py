@@ -10,6 +10,7 @@ from ..functions.text import _col, fold_accents, js_trim, let
 from .stories import top_by_importance
 from ..functions.dates import minus
 from ..plans.lineage import cut
+from ..streaming.articles import sliding_totals
 
 
 def trend_words(title) -> Column:
@@ -57,21 +58,32 @@ def _terms(words: Column) -> Column:
     return F.concat(unigrams, F.when(F.size(words) >= 2, bigrams).otherwise(none))
 
 
-def tf_df(titles: DataFrame, id_col: str = "story_id", title_col: str = "titulo_canonico", group: list[str] = ()) -> DataFrame:
-    """Term and document frequency of unigrams and bigrams, with the first label seen.
-
-    Counting per (title, term) first makes the document frequency a plain row count; a term
-    that occurs everywhere is pre-aggregated by every task before it is shuffled.
-    """
+def _per_title(titles: DataFrame, id_col: str, title_col: str, group: list[str]) -> DataFrame:
+    """One row per (title, term): repeats inside a title meet without hot groups."""
     rows = titles.filter(js_trim(F.col(title_col)) != "").select(
         *group, F.col(id_col).alias("_doc"), let(trend_words(title_col), _terms).alias("_terms")
     )
     exploded = rows.select(*group, "_doc", F.explode("_terms").alias("t"))
-    # One row per (title, term): repeats inside a title meet again without hot groups.
-    per_title = exploded.groupBy(*group, "_doc", F.col("t.term").alias("term"), F.col("t.words").alias("words")).agg(
+    return exploded.groupBy(*group, "_doc", F.col("t.term").alias("term"), F.col("t.words").alias("words")).agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("t.place", "t.label")).alias("first")
     )
-    return per_title.groupBy(*group, "term", "words").agg(
+
+
+def sliding_tf_df(titles: DataFrame, ts: str, id_col: str = "story_id", title_col: str = "titulo_canonico", hours: int = 48) -> DataFrame:
+    """``start, term, words, tf, df`` of every window that begins on an hour, for terms that occur often enough in it."""
+    totals = sliding_totals(
+        _per_title(titles, id_col, title_col, [ts]), ts, ["term", "words"], {"tf": F.sum("n"), "df": F.count(F.lit(1))}, hours
+    )
+    return totals.filter((F.col("tf") >= V.TREND_MIN_TITLES) & (F.col("df") >= V.TREND_MIN_TITLES))
+
+
+def tf_df(titles: DataFrame, id_col: str = "story_id", title_col: str = "titulo_canonico", group: list[str] = ()) -> DataFrame:
+    """Term and document frequency of unigrams and bigrams, with the first label seen.
+
+    Counting per (title, term) first makes the document frequency a plain row count; a term
+    that occurs everywhere is pre-aggregated by every task before it is shuffled.
+    """
+    return _per_title(titles, id_col, title_col, group).groupBy(*group, "term", "words").agg(
         F.sum("n").alias("tf"),
         F.count(F.lit(1)).alias("df"),
         F.min(F.struct("_doc", "first.place", "first.label")).alias("first"),

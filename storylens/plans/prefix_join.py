@@ -12,6 +12,10 @@ bound with the weight of the key's own features added.  Two texts that share not
 beyond a hot key can only be similar when the key alone reaches the threshold in both, so
 just those texts are joined on the hot key itself.  Every similar pair is found under some
 key; keys get longer only where they are hot.
+
+Rows of a key also carry bit maps of their sets: every element sets one bit.  An element whose bit the other text
+lacks is not shared, so the bits of one side without those of the other bound the overlap from above, and a pair
+whose bounds stay below the threshold is dropped while the key is read, before any set is looked at.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from .lineage import cut
 HOT_KEY_ROWS = 256
 MAX_KEY_FEATURES = 4
 SLACK = 1e-9
+WORDS = 8  # 64-bit words in the bit map of a set
 
 
 def ranked_features(docs: DataFrame, sets: dict[str, tuple[str, float]], lead: str | None = None) -> DataFrame:
@@ -104,9 +109,14 @@ def candidate_pairs(
     sizes = docs.select(
         "id",
         *[F.size(c).alias(f"n{i}") for i, c in enumerate(columns)],
+        *[_bit_map(c).alias(f"m{i}") for i, c in enumerate(columns)],
         (F.col(block).cast("string") if block else F.lit("")).alias("block"),
     )
-    size_names = [f"n{i}" for i in range(len(columns))]
+    sizes = cut(sizes.select(
+        "id", "block", *[f"n{i}" for i in range(len(columns))],
+        *[F.element_at(f"m{i}", w + 1).alias(f"m{i}_{w}") for i in range(len(columns)) for w in range(WORDS)],
+    ))
+    size_names = [c for c in sizes.columns if c not in ("id", "block")]
     limit = threshold - SLACK
 
     keys = (
@@ -153,12 +163,39 @@ def candidate_pairs(
     return found.distinct()
 
 
+def _bit_map(elements: str) -> Column:
+    """``WORDS`` long values with the bit of every element's hash."""
+    hashes = F.transform(elements, lambda e: F.pmod(F.xxhash64(e), F.lit(64 * WORDS)).cast("int"))
+    empty = F.array(*[F.lit(0).cast("long")] * WORDS)
+    one = F.lit(1).cast("long")
+
+    def add(bits: Column, h: Column) -> Column:
+        bit = F.call_function("shiftleft", one, h % 64)
+        return F.transform(bits, lambda word, k: F.when(k == F.floor(h / 64), word.bitwiseOR(bit)).otherwise(word))
+
+    return F.aggregate(F.array_distinct(hashes), empty, add)
+
+
+def _overlap_bound(i: int) -> Column:
+    """At most so many elements of set ``i`` are shared by the texts a and b."""
+
+    def alone(x: str, y: str) -> Column:
+        missing = [F.bit_count(F.col(f"{x}_m{i}_{w}").bitwiseAND(F.bitwise_not(f"{y}_m{i}_{w}"))) for w in range(WORDS)]
+        return F.col(f"{x}_n{i}") - sum(missing[1:], missing[0])
+
+    return F.least(alone("a", "b"), alone("b", "a"))
+
+
 def _join_on_key(keys: DataFrame, sizes: list[str], shares: list[float], limit: float) -> DataFrame:
-    """Pairs of texts with a common key whose set sizes allow the threshold."""
+    """Pairs of texts with a common key whose sizes and bit maps allow the threshold."""
     left = keys.select("key", F.col("id").alias("a"), *[F.col(s).alias(f"a_{s}") for s in sizes])
     right = keys.select("key", F.col("id").alias("b"), *[F.col(s).alias(f"b_{s}") for s in sizes])
-    bound: Column = F.lit(0.0)
-    for share, s in zip(shares, sizes):
-        low, high = F.least(f"a_{s}", f"b_{s}"), F.greatest(f"a_{s}", f"b_{s}", F.lit(1))
-        bound = bound + F.lit(share) * low / high
-    return left.join(right, "key").filter((F.col("a") < F.col("b")) & (bound >= limit)).select("a", "b")
+    by_size: Column = F.lit(0.0)
+    by_bits: Column = F.lit(0.0)
+    for i, share in enumerate(shares):
+        a, b = F.col(f"a_n{i}"), F.col(f"b_n{i}")
+        by_size = by_size + F.lit(share) * F.least(a, b) / F.greatest(a, b, F.lit(1))
+        shared = _overlap_bound(i)
+        by_bits = by_bits + F.lit(share) * shared / F.greatest(a + b - shared, F.lit(1))
+    near = (F.col("a") < F.col("b")) & (by_size >= limit)
+    return left.join(right, "key").filter(near & (by_bits >= limit)).select("a", "b")

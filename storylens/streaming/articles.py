@@ -90,6 +90,29 @@ def coverage_window(events: DataFrame, ts: str, keys: list[str], size: str = "1
     return events.groupBy(F.window(ts, size, slide).alias("window"), *keys).agg(F.count(F.lit(1)).alias("n"))
 
 
+def sliding_totals(events: DataFrame, ts: str, keys: list[str], values: dict[str, Column], hours: int = 48) -> DataFrame:
+    """Sums of ``values`` (aggregates) for every window of ``hours`` that begins on an hour and holds a row; in batch.
+
+    Rows are added up by hour first.  An hour enters the window that begins ``hours`` - 1 before it and leaves after
+    its own: two changes a pane, whose running sum is the total of each window.  No row meets 48 windows.
+    """
+    names = [*values, "_panes"]
+    panes = events.filter(F.col(ts).isNotNull()).groupBy(*keys, F.date_trunc("hour", ts).alias("_hour")).agg(
+        *[value.alias(name) for name, value in values.items()], F.lit(1).cast("long").alias("_panes")
+    )
+    hour = F.expr("interval 1 hour")
+    enters = panes.select(*keys, (F.col("_hour") - F.expr(f"interval {hours - 1} hours")).alias("start"), *names)
+    leaves = panes.select(*keys, (F.col("_hour") + hour).alias("start"), *[(-F.col(n)).alias(n) for n in names])
+    changes = enters.unionByName(leaves).groupBy(*keys, "start").agg(*[F.sum(n).alias(n) for n in names])
+    order = Window.partitionBy(*keys).orderBy("start")
+    running = changes.select(
+        *keys, "start", F.lead("start").over(order).alias("_next"),
+        *[F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias(n) for n in names],
+    )
+    filled = running.filter("_panes > 0").withColumn("start", F.explode(F.sequence("start", F.col("_next") - hour, hour)))
+    return filled.select("start", *keys, *values)
+
+
 def with_watermark(items: DataFrame, ts: str = "fecha_pub", delay: str = "4 days") -> DataFrame:
     return items.withWatermark(ts, delay)
 
