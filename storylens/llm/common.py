@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.joins import spread  # noqa: F401  (used by the operators)
 from ..plans.session import ship_package
 
 #: Rows of one Arrow batch: keeps a Python worker's memory small even where texts are long.
@@ -33,12 +34,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{str(folder).rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A scan with fewer splits than cores gets one partition per core; a larger one stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``.  Only a local session may go without one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
