@@ -12,7 +12,7 @@ group, further columns of documents are handed through whatever their names, and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storylens.llm import decontam, packing, secret_scan, simhash, toxicity
@@ -47,16 +47,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     marked = simhash.with_fingerprint(_folded(docs).withColumn("_text", F.col("text")))
-    marked = store(marked.withColumnRenamed("_text", "text"), "pipeline-marked")
+    marked = marked.withColumnRenamed("_text", "text").withColumn("_row", F.monotonically_increasing_id())
+    marked = store(marked, "pipeline-marked")
     grouped = simhash.components(marked.select("doc_id", "fp"))
     # One row of each group: the lowest id, then the lowest fingerprint; of equal rows any one.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")).alias("first")
     lowest = grouped.groupBy("component_id", "group").agg(first)
     chosen = lowest.select(F.col("first.doc_id").alias("_id"), F.col("first.fp").alias("_fp"))
-    kept = marked.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("fp") == F.col("_fp")))
-    same = Window.partitionBy("_id", "_fp").orderBy(F.xxhash64("text", "_rest"))
-    kept = kept.withColumn("_n", F.row_number().over(same)).filter("_n = 1")
-    return _unfolded(kept, docs)
+    # Of the rows of a chosen id and fingerprint (repeated rows, however many) the one of the lowest row number stays.
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")
+    firsts = marked.groupBy(key.alias("_key")).agg(F.min("_row").alias("_row"))
+    chosen = chosen.select(F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("doc_id"), F.col("_fp").alias("fp")).alias("_key"))
+    # Row numbers are unique, so texts are joined on keys of which none is hot.
+    rows = firsts.join(chosen, "_key", "left_semi").select("_row")
+    return _unfolded(marked.join(rows, "_row", "left_semi"), docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
