@@ -186,11 +186,9 @@ def train(flat_net: np.ndarray, squares: np.ndarray, around: np.ndarray, ids: np
         grad["t"][[k for k, _ in ranges]] = np.add.reduceat(inner, [of.start for _, of in ranges])
         d_h *= 1 - h * h
         grad["W"][...], grad["b"][...] = x.T @ d_h, d_h.sum(0)
-        d_x = (d_h @ net["W"].T).reshape(-1, DIM)
-        near = near.ravel()
-        by_id = np.argsort(near, kind="stable")
-        first = np.flatnonzero(np.diff(near[by_id], prepend=-1))
-        grad["E"][near[by_id][first]] = np.add.reduceat(d_x[by_id], first)
+        # Every place of a row of E is a counter that its parts are added to.
+        places = near.ravel()[:, None] * DIM + np.arange(DIM)
+        grad["E"][...] = np.bincount(places.ravel(), (d_h @ net["W"].T).ravel(), grad["E"].size).reshape(-1, DIM)
         gradient /= len(target)
         squares += gradient * gradient
         flat_net -= RATE * gradient / np.sqrt(squares + 1e-8)
