@@ -223,6 +223,27 @@ def test_embeddings_of_a_large_label(spark):
     assert got == {i: (int(degree[i]), roots[i]) for i in range(n)}
 
 
+def test_embedding_passes_and_whole_labels(spark, monkeypatch):
+    """Passes over several parts, a label too alike for passes, and one that fits a block, against all pairs."""
+    import pandas as pd
+
+    monkeypatch.setattr(embedding_dedup, "MOST", 11)
+    rng = np.random.default_rng(12)
+    own = rng.normal(size=(13_000, 24))
+    own[9000:10500] = 0.95 * own[:1500] + 0.3 * own[9000:10500]
+    own[10500:11700] += 2.6 * np.sqrt(24) * np.eye(24)[1]
+    label = np.repeat([1, 2, 3], [10_500, 1_200, 1_300])
+    own[11_700:] = own[11_700] + 0.2 * rng.normal(size=(1_300, 24))  # a dense group, larger than a window
+    vectors = pd.DataFrame({"vec_id": range(len(own)), "embedding": list(own.astype(np.float32)), "label": label})
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int")
+    _, distinct = embedding_dedup.classes(df)
+    passes = {r.label: r.passes for r in embedding_dedup.plan_passes(distinct, 0.93).collect()}
+    assert 1 < passes[1] <= embedding_dedup.MOST < passes[2]
+    exact = sorted(map(tuple, embedding_dedup.near_duplicates(df, exact=True).collect()))
+    assert sum(r[1] for r in exact) > 2 * 1300
+    assert sorted(map(tuple, embedding_dedup.op6(df).collect())) == exact
+
+
 def test_chats_against_sql(spark):
     con = connect(FOLDER)
     assert compare(QUERIES["op8_chat_format"](spark, FOLDER), con, ORACLES["op8_chat_format"]) is None
