@@ -2,14 +2,14 @@
 
 Texts are compared in lower case with runs of white space as one space.  A benchmark item is cut into
 segments of ``SEGMENT`` characters that overlap by half (a shorter item is one segment).  A segment of ``m``
-characters may differ from a region of a document by ``m // EDIT_SHARE`` edits ``k``, or by fewer if a short
-segment could else lose all its q-grams (``edit_budget``).  Then both share at least ``m - q + 1 - k q`` q-grams whose diagonals lie within ``k`` of each other.  Shared q-grams are counted in
-bands of ``2 k + 1`` diagonals that overlap by ``k``; bands that reach the bound are verified by alignment
-inside the band.  Nothing within the budget is lost.
+characters may differ from a region of a document by ``m // EDIT_SHARE`` edits ``k``.  Then both share at least
+``m - q + 1 - k q`` q-grams whose diagonals lie within ``k`` of each other; ``Q`` is so short that this is 1 or more
+for every size.  Shared q-grams are counted in bands of ``2 k + 1`` diagonals that overlap by ``k``; bands that reach
+the bound are verified by alignment inside the band.  Nothing within the budget is lost.  Items of fewer than
+``MIN_CHARS`` characters have no edits: they are found as they are, between characters that are no letters or digits.
 
 The benchmark is a stated query set: it is compared in blocks of at most about ``BLOCK_CHARS`` characters,
-of which each is broadcast.  Equal segments are compared once.  Null and blank texts match nothing, nor do
-items of fewer than ``MIN_CHARS`` characters.  Repeated rows of documents are reported each; a null
+of which each is broadcast.  Equal segments are compared once.  Null and blank texts match nothing.  Repeated rows of documents are reported each; a null
 ``item_id`` is reported as null.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql.types import StructType
 from . import flat
 from .common import spread
 
-Q = 12
+Q = 10  # MIN_CHARS // 2 at most
 SEGMENT = 80
 EDIT_SHARE = 16
 MIN_CHARS = 20
@@ -79,23 +79,40 @@ def _grams(code: np.ndarray) -> np.ndarray:
     h2 = h1[:-1] * b1 + h1[1:]
     h4 = h2[:-2] * b2 + h2[2:]
     h8 = h4[:-4] * b4 + h4[4:]
-    return flat.mix(h8[:-4] * b4 + h4[8:])
+    return flat.mix(h8[:-2] * b2 + h2[8:])
 
 
 def edit_budget(size):
-    """Edits that a segment of this size may have: so few that q-grams without any remain."""
-    return np.minimum(size // EDIT_SHARE, (size - Q) // Q)
+    """Edits that a segment of this size may have."""
+    return np.where(size < MIN_CHARS, 0, size // EDIT_SHARE)
+
+
+def _is_word(code: np.ndarray) -> np.ndarray:
+    """Which code points are letters or digits."""
+    known, which = np.unique(code, return_inverse=True)
+    return np.array([chr(c).isalnum() for c in known.tolist()], dtype=bool)[which]
+
+
+def _power_sums(code: np.ndarray, m: int) -> np.ndarray:
+    """Hash of each run of ``m`` code points, for small ``m``."""
+    if len(code) < m:
+        return np.zeros(0, np.uint64)
+    n, values = len(code) - m + 1, code.astype(np.uint64) * flat.ODD
+    total = np.zeros(n, dtype=np.uint64)
+    for j in range(m):
+        total = total * np.uint64(flat.BASE) + values[j : j + n]
+    return flat.mix(total)
 
 
 class Index:
-    """q-grams of the segments of some items."""
+    """q-grams of the segments of some items, and the hashes of whole short ones (unless ``short`` is false)."""
 
-    def __init__(self, items: list[tuple[int | None, str]]):
+    def __init__(self, items: list[tuple[int | None, str]], short: bool = True):
         places: dict[bytes, set] = {}
         for item, text in items:
             normal = Normal([text]).code[GAP:-GAP]
             n = len(normal)
-            if n < MIN_CHARS:
+            if not n or n < MIN_CHARS and not short:
                 continue
             starts = sorted({*range(0, max(1, n - SEGMENT + 1), SEGMENT // 2), max(0, n - SEGMENT)})
             for s in starts:
@@ -105,7 +122,14 @@ class Index:
         self.size = np.array([len(s) for s in self.segments], dtype=np.int64)
         self.edits = edit_budget(self.size)
         self.bound = self.size - Q + 1 - self.edits * Q
-        hashes = [_grams(s) for s in self.segments]
+        self.whole: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by size: hashes and numbers of short items
+        for m in np.unique(self.size[self.size < MIN_CHARS]).tolist():
+            number = np.flatnonzero(self.size == m)
+            keys = np.array([_power_sums(self.segments[i], m)[0] for i in number], dtype=np.uint64)
+            order = np.argsort(keys, kind="stable")
+            self.whole[m] = keys[order], number[order]
+        none = np.zeros(0, np.uint64)
+        hashes = [_grams(s) if len(s) >= MIN_CHARS else none for s in self.segments]
         number = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
         place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, int)
         every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
@@ -142,9 +166,26 @@ class Index:
             found.append(np.stack([number[ok], band[ok] * (self.edits[number[ok]] + 1) - SEGMENT], 1))
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
 
+    def short_matches(self, code: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(segment, first place, place after the last, 0) of the short items in ``code``."""
+        out = []
+        if not self.whole:
+            return out
+        word = np.concatenate([[False], _is_word(code), [False]])
+        for m, (keys, numbers) in self.whole.items():
+            runs = _power_sums(code, m)
+            # No word goes on over the edges of a run.
+            at = np.flatnonzero(~(word[: len(runs)] & word[1 : len(runs) + 1]) & ~(word[m : m + len(runs)] & word[m + 1 : m + 1 + len(runs)]))
+            known, first = np.unique(keys, return_index=True)
+            key = flat.find(known, runs[at])
+            for place, k in zip(at[key >= 0].tolist(), key[key >= 0].tolist()):
+                alike = numbers[first[k] : np.searchsorted(keys, known[k], side="right")]
+                out += [(int(i), place, place + m, 0) for i in alike if (self.segments[i] == code[place : place + m]).all()]
+        return out
+
     def search(self, code: np.ndarray):
         """(segment, first place, place after the last, edits) of verified regions."""
-        out = []
+        out = self.short_matches(code)
         number, first = self.candidates(code).T
         for m in np.unique(self.size[number]):
             of = np.flatnonzero(self.size[number] == m)
@@ -223,8 +264,8 @@ def _blocks(benchmark: DataFrame) -> list[list[tuple]]:
         yield sorted(((r[0], r[1]) for r in part.collect()), key=lambda r: (r[0] is None, r[0], r[1]))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` with ``matches``: the benchmark's passages in each whole text."""
+def matches(docs: DataFrame, benchmark: DataFrame, short: bool = True) -> DataFrame:
+    """``docs`` with ``matches``: the benchmark's passages in each whole text; ``short`` items only if wanted."""
     context = docs.sparkSession.sparkContext
     docs = spread(docs.drop("matches"))
     added = docs.sparkSession.createDataFrame([], f"matches {MATCH}").schema
@@ -232,7 +273,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     kind = to_arrow_schema(schema).field("matches").type
     done = docs
     for n, items in enumerate(_blocks(benchmark)):
-        shared = context.broadcast(Index(items))
+        shared = context.broadcast(Index(items, short))
 
         def run(batches, shared=shared, n=n):
             for batch in batches:

@@ -309,6 +309,28 @@ def test_decontamination(spark, documents, empty):
     assert decontam.op9(docs, benchmark.limit(0)).collect() == []
 
 
+def test_short_benchmark_items_are_whole_words():
+    """Items too short for edits against a plain search; the budget of all longer sizes is the stated share."""
+    import re
+
+    rng = np.random.default_rng(3)
+    words = ["ab", "abc", "c", "Q9", "é", "x-y", "!", "a b"]
+    items = list(enumerate(["ab", "a", "q9 c", "x-y", "é", "!", "  Abc   ab ", "c c c c c c c c c", "nowhere"]))
+    index = decontam.Index([*items, (20, None or ""), (21, "x" * 40)])
+    for _ in range(60):
+        text = " ".join(rng.choice(words, int(rng.integers(0, 40))))
+        plain = set()
+        for number, item in items:
+            shape = re.escape(" ".join(item.lower().split()))
+            left, right = ("(?<![^\\W_])" if shape[0].isalnum() else ""), ("(?![^\\W_])" if shape[-1].isalnum() else "")
+            if re.search(left + shape + right, text.lower()):
+                plain.add(number)
+        assert {m["item_id"] for m in decontam.search_texts(index, [text])[0]} == plain
+    assert decontam.search_texts(decontam.Index(items, short=False), ["ab a"]) == [[]]
+    assert all(decontam.edit_budget(n) == n // decontam.EDIT_SHARE for n in range(decontam.MIN_CHARS, 81))
+    assert all(n - decontam.Q + 1 - decontam.Q * decontam.edit_budget(n) > 0 for n in range(decontam.MIN_CHARS, 81))
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     benchmark = table(spark, FOLDER, "benchmark")
     docs = table(spark, FOLDER, "documents")
