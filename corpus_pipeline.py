@@ -2,7 +2,8 @@
 
 1. toxicity: documents that the network scores at or above its threshold go.
 2. SimHash near-duplicates: of every group of linked documents the one with the lowest id stays.
-3. benchmark decontamination: documents that hold a passage of the benchmark go.
+3. benchmark decontamination: documents that hold a passage of the benchmark go; an item of fewer than
+   ``decontam.MIN_CHARS`` characters, such as a single word, is no passage.
 4. secrets: reported spans are replaced in the text, and ``n_chars`` follows; every document stays.
 5. packing: one row per piece with its place in a sequence.
 
@@ -65,7 +66,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    found = decontam.matches(_folded(docs), table(spark, sf_dir, "benchmark"))
+    found = decontam.matches(_folded(docs), table(spark, sf_dir, "benchmark"), short=False)
     return _unfolded(found.filter(F.size("matches") == 0), docs)
 
 
