@@ -250,7 +250,8 @@ def search_contains(n):
 
 @register("search_fulltext", query(r"select story_id, titulo_canonico from (select *, titulo_canonico || ' ' || resumen_canonico as x from spans) where regexp_matches(x, '\bring\b') and regexp_matches(x, '\b(small|red)\b') and not regexp_matches(x, '\bwidget\b')", "spans"))
 def search_fulltext(n):
-    return SR.search_fulltext(n.stories, all_of=["ring"], any_of=["small", "red"], none_of=["widget"]).select("story_id", "titulo_canonico")
+    texts = n.stories.select("story_id", "titulo_canonico", "resumen_canonico")
+    return SR.search_fulltext(texts, all_of=["ring"], any_of=["small", "red"], none_of=["widget"]).select("story_id", "titulo_canonico")
 
 
 @register("list_stories", query("""select story_id, importance, last_pub, count(*) over () > 20 as has_more from (select cov.story_id, importance, last_pub from cov cross join t

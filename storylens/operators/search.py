@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from ..functions import spectrum as S
 from ..functions.dates import epoch_micros, as_column, hours_between, window_since
 from ..functions.stems import stem, words_of
 from ..plans.global_rank import global_rank
+from ..plans.lineage import stored
 
 
 def story_window(stories: DataFrame, window: str, as_of) -> DataFrame:
@@ -43,42 +46,51 @@ def search_fulltext(
 
     Every ``all_of`` term, at least one ``any_of`` term and no ``none_of`` term must occur.
     A term of several words is a phrase: its stems must follow each other.  Words are
-    stemmed once per distinct word; only occurrences of wanted stems are grouped.
+    stemmed once per distinct word.  ``stories`` is computed once and stored; the words that have a wanted stem are
+    few, so each story is then judged where it is read: no occurrence is shuffled and nothing joined back.
     """
     terms = list(dict.fromkeys([*all_of, *any_of, *none_of]))
     if not terms:
         return stories
-    spark = stories.sparkSession
     query = (
-        spark.createDataFrame([(t,) for t in terms], "term string")
+        stories.sparkSession.createDataFrame([(t,) for t in terms], "term string")
         .select("term", F.posexplode(words_of("term")).alias("offset", "word"))
         .select("term", "offset", stem(F.col("word")).alias("stem"))
     )
-    lengths = query.groupBy("term").agg(F.count(F.lit(1)).alias("length"))
-
-    text = F.concat_ws(" ", "titulo_canonico", "resumen_canonico")
-    occurrences = stories.select("story_id", F.posexplode(words_of(text)).alias("at", "word"))
-    vocabulary = occurrences.select("word").distinct().withColumn("stem", stem(F.col("word")))
-    wanted = vocabulary.join(query, "stem").select("word", "term", "offset")
-    found = (
-        occurrences.join(wanted, "word")
-        .groupBy("story_id", "term", (F.col("at") - F.col("offset")).alias("start"))
-        .agg(F.count_distinct("offset").alias("matched"))
-        .join(lengths, "term")
-        .filter(F.col("matched") == F.col("length"))
-        .groupBy("story_id")
-        .agg(*[F.max((F.col("term") == t).cast("int")).alias(f"_t{i}") for i, t in enumerate(terms)])
-    )
-    rows = stories.join(found, "story_id", "left")
-    has = {t: F.coalesce(F.col(f"_t{i}"), F.lit(0)) == 1 for i, t in enumerate(terms)}
+    rows = stored(stories)
+    words = words_of(F.concat_ws(" ", "titulo_canonico", "resumen_canonico"))
+    # Stored before it is stemmed: the join would push its null check of a stem down to every occurrence.
+    vocabulary = stored(rows.select(F.explode(words).alias("word")).distinct()).withColumn("stem", stem(F.col("word")))
+    wanted = stored(vocabulary.join(F.broadcast(query), "stem").select("word", "term", "offset"))
+    lengths = {r["term"]: r["n"] for r in query.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def forms(term: str, offset: int) -> Column:
+        """Words of the stories with the stem of one word of a term."""
+        return wanted.filter((F.col("term") == term) & (F.col("offset") == offset)).agg(F.collect_set("word")).scalar()
+
+    def occurs(term: str) -> Column:
+        of = [F.col(f"_forms.`{terms.index(term)}_{offset}`") for offset in range(lengths.get(term, 0))]
+        if not of:
+            return F.lit(False)
+        if len(of) == 1:
+            return F.arrays_overlap("_words", of[0])
+
+        def follows(i: Column) -> Column:
+            held = [F.coalesce(F.array_contains(f, F.get("_words", i + k)), F.lit(False)) for k, f in enumerate(of)]
+            return reduce(Column.__and__, held)
+
+        return F.exists(F.transform("_words", lambda _, i: i), follows)
+
+    listed = [forms(t, k).alias(f"{i}_{k}") for i, t in enumerate(terms) for k in range(lengths.get(t, 0))]
+    judged = rows.withColumns({"_words": words, "_forms": F.struct(*listed, F.lit(0).alias("none"))})
     wanted_rows = F.lit(True)
     for t in all_of:
-        wanted_rows = wanted_rows & has[t]
+        wanted_rows = wanted_rows & occurs(t)
     for t in none_of:
-        wanted_rows = wanted_rows & ~has[t]
+        wanted_rows = wanted_rows & ~occurs(t)
     if any_of:
-        wanted_rows = wanted_rows & F.greatest(F.lit(False), *[has[t] for t in any_of])
-    return rows.filter(wanted_rows).select(*stories.columns)
+        wanted_rows = wanted_rows & F.greatest(F.lit(False), *[occurs(t) for t in any_of])
+    return judged.filter(wanted_rows).select(*stories.columns)
 
 
 def stories_of_outlets(articles: DataFrame, outlets: DataFrame, slugs: list[str]) -> DataFrame:
