@@ -101,9 +101,12 @@ def sliding_totals(events: DataFrame, ts: str, keys: list[str], values: dict[str
         *[value.alias(name) for name, value in values.items()], F.lit(1).cast("long").alias("_panes")
     )
     hour = F.expr("interval 1 hour")
-    enters = panes.select(*keys, (F.col("_hour") - F.expr(f"interval {hours - 1} hours")).alias("start"), *names)
-    leaves = panes.select(*keys, (F.col("_hour") + hour).alias("start"), *[(-F.col(n)).alias(n) for n in names])
-    changes = enters.unionByName(leaves).groupBy(*keys, "start").agg(*[F.sum(n).alias(n) for n in names])
+    enters = F.struct((F.col("_hour") - F.expr(f"interval {hours - 1} hours")).alias("start"), F.lit(1).alias("sign"))
+    leaves = F.struct((F.col("_hour") + hour).alias("start"), F.lit(-1).alias("sign"))
+    changed = panes.withColumn("_change", F.explode(F.array(enters, leaves)))
+    changes = changed.groupBy(*keys, F.col("_change.start").alias("start")).agg(
+        *[F.sum(F.col(n) * F.col("_change.sign")).alias(n) for n in names]
+    )
     order = Window.partitionBy(*keys).orderBy("start")
     running = changes.select(
         *keys, "start", F.lead("start").over(order).alias("_next"),
