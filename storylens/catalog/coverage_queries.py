@@ -189,7 +189,8 @@ HYBRID = """select *, row_number() over (order by score desc, last_pub desc, imp
 
 @register("hybrid_rank", query("select story_id, importance, last_pub, round(score, 6) as score, cast(position as int) as position from hybrid", "cov", "t", hybrid=HYBRID))
 def hybrid_rank(n):
-    ranked = SR.hybrid_rank(n.coverage, n.as_of)
+    # Ranking stores its rows: it is given the columns that are asked for.
+    ranked = SR.hybrid_rank(n.coverage.select("story_id", "importance", "last_pub"), n.as_of)
     return ranked.select("story_id", "importance", "last_pub", F.round("score", 6).alias("score"), "position")
 
 
